@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, line_dedup, packing, quality, simhash, substring_dedup, warc
+from tidemark.llm import bpe, embedding_dedup, line_dedup, packing, quality, sharding, simhash, substring_dedup, warc
 
 QUERIES = {
+    "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_sharding": sharding.op3_sharding,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_simhash": simhash.op6_simhash,
     "op7_bpe": bpe.op7_bpe,

@@ -92,7 +92,7 @@ class WarcWriter(DataSourceWriter):
     def commit(self, messages: list[_Written | None]) -> None:
         fs, root = _fs(self.path)
         fs.create_dir(root, recursive=True)
-        old = [] if self.overwrite else _manifest(self.path)
+        old = [] if self.overwrite or fs.get_file_info(f"{root}/_manifest.json").type != pafs.FileType.File else _manifest(self.path)
         with fs.open_output_stream(f"{root}/_manifest.json", compression=None) as f:
             f.write(json.dumps(old + [x for m in messages if m for x in m.files]).encode())
 
