@@ -19,6 +19,8 @@ from tidemark.llm.components import components
 SHARD, OVERLAP, FIT, CENTROIDS = 600, 4, 20_000, 16_384
 #: Neighbours kept by robust pruning, candidates it takes, its slack, and the width of the search.
 DEGREE, CANDIDATES, ALPHA, BEAM = 24, 48, 1.2, 32
+#: Links to any nodes that each node has besides, so that dense groups can be reached.
+FAR = 10
 #: Queries of the recall audit.
 AUDIT = 200
 
@@ -65,7 +67,7 @@ def robust_prune(sim: np.ndarray, near: np.ndarray, x: np.ndarray, degree: int =
 
 
 def build_graph(x: np.ndarray) -> np.ndarray:
-    """Adjacency (n, DEGREE + DEGREE // 2) of one shard: pruned candidates, and links back while places are free."""
+    """Adjacency of one shard: pruned candidates, links back while places are free, and FAR links to any nodes."""
     n = len(x)
     k = min(CANDIDATES, n - 1)
     if k < 1:
@@ -79,7 +81,9 @@ def build_graph(x: np.ndarray) -> np.ndarray:
         o = np.argsort(-v, 1, kind="stable")
         near[i : i + 512], sims[i : i + 512] = np.take_along_axis(top, o, 1), np.take_along_axis(v, o, 1)
     out = np.concatenate([robust_prune(sims[i : i + 2048], near[i : i + 2048], x) for i in range(0, n, 2048)])
-    return _with_back(out, DEGREE + DEGREE // 2)
+    # groups larger than CANDIDATES would be islands
+    far = np.random.default_rng(n).integers(0, n, (n, FAR))
+    return np.concatenate([_with_back(out, DEGREE + DEGREE // 2), np.where(far == np.arange(n)[:, None], -1, far)], 1)
 
 
 def _with_back(out: np.ndarray, width: int) -> np.ndarray:
@@ -176,7 +180,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, audit: int = AUDIT)
     Only vectors of one label and length are compared.  Vectors that are null, empty, zero or hold null, NaN or infinite
     values, and rows with a null label, link with nothing and form components of their own.  Repeated rows and equal vectors are linked with
     each other.  Equal vectors are searched once.  Centroids are fitted for each label on a sample of FIT vectors at most
-    (the least by hash); every vector is in the shards of its OVERLAP nearest centroids.  Each shard builds a
+    (the least by hash); every vector is in the shards of its OVERLAP
+    nearest centroids, and of all within 1.6 times the linking angle.  Each shard builds a
     robust-pruned graph, a vector's adjacency lists are united, and each vector searches the united graph around its nearest
     shard.  `audit` vectors are held against all rows in blocks; a recall below 0.9 warns.  An empty table gives an empty table.
     """
@@ -200,6 +205,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, audit: int = AUDIT)
             centers.setdefault(r["part"], []).append(r["e"])
         centers = {p: np.array(c) for p, c in centers.items()}
     shared = spark.sparkContext.broadcast(centers)
+    # two steps of the linking angle, less what a centroid among the linked vectors saves: dense groups with several centroids meet whole
+    close = np.cos(1.6 * np.arccos(least))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -209,15 +216,17 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, audit: int = AUDIT)
                 i = np.flatnonzero(part == p)
                 c = shared.value.get(p)
                 if c is None:
-                    near = np.zeros((len(i), 1), np.int64)
+                    mine, first = np.ones((len(i), 1), bool), np.zeros(len(i), np.int64)
                 else:
                     s = _unit(_matrix([vec[k] for k in i])) @ c.T
                     near = np.argsort(-s, 1, kind="stable")[:, :OVERLAP]
-                for k in range(near.shape[1]):
-                    ns += node[i].tolist()
-                    shards += [f"{p}/{x}" for x in near[:, k]]
-                    primary += [k == 0] * len(i)
-                    es += [vec[x] for x in i]
+                    mine, first = s >= close, near[:, 0]
+                    np.put_along_axis(mine, near, True, 1)
+                r, k = np.nonzero(mine)
+                ns += node[i[r]].tolist()
+                shards += [f"{p}/{x}" for x in k]
+                primary += (first[r] == k).tolist()
+                es += [vec[x] for x in i[r]]
             yield pa.RecordBatch.from_arrays([pa.array(ns, pa.int64()), pa.array(shards, pa.string()), pa.array(primary, pa.bool_()), pa.array(es, pa.list_(pa.float64()))], ["node", "shard", "main", "e"])
 
     dealt = saved(one.select("node", "part", "e").mapInArrow(deal, "node long, shard string, main boolean, e array<double>"))
@@ -267,7 +276,7 @@ def _search(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
             k = np.minimum(np.searchsorted(node[order], v), len(node) - 1)
             adj[i, : len(v)] = np.where(node[order][k] == v, order[k], -1)
     medoid = np.argsort(-(x @ x.mean(0)), kind="stable")[:1]
-    spread = np.random.default_rng(5).choice(len(x), min(7, len(x)), replace=False)
+    spread = np.random.default_rng(5).choice(len(x), min(23, len(x)), replace=False)
     a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for q, n in range_search(x, adj, np.flatnonzero(pdf["main"].to_numpy()), np.unique(np.r_[medoid, spread]), least):
         a.append(node[q])

@@ -87,6 +87,12 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches:
     return out.select(*[F.when(F.col("_gone").isNull(), body()).otherwise(F.array_join("_stay", "\n")).alias("text") if c == "text" else docs[c] for c in names], F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size("_stay")).cast("long").alias("n_dropped"))
 
 
+def cut_lines(docs: DataFrame) -> DataFrame:
+    """Pipeline stage.  Columns as those of docs."""
+    out = line_dedup(docs)
+    return out.select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(load(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))

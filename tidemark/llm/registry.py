@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, embedding_dedup, line_dedup, packing, quality, sharding, simhash, substring_dedup, warc
+from tidemark.llm import bpe, embedding_dedup, line_dedup, packing, quality, sharding, simhash, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_sharding": sharding.op3_sharding,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_simhash": simhash.op6_simhash,
     "op7_bpe": bpe.op7_bpe,
