@@ -357,8 +357,8 @@ class Binder:
             at = self.value(s.latest[1])
             if at.type != TIMESTAMP:
                 self.fail("type_mismatch", "LATEST BY is ON a TIMESTAMP_NS", s.latest[1])
-            ties = [f"`{self.internal(0, c)}`" for c in self.sources[0][1].spec.order_key] + [f"`{c}`" for c in self.hidden(0)]
-            steps.append((lambda df: latest_by(df, [k.col for k in keys], at.col, [F.col(c) for c in ties]), "rows_after_latest"))
+            by = [F.col(f"`{self.internal(0, c)}`") for c in self.sources[0][1].spec.order_key] + [F.col(f"`{c}`") for c in self.hidden(0)]
+            steps.append((lambda df: latest_by(df, [k.col for k in keys], at.col, by), "rows_after_latest"))
         self.no_aggregates = "ON"
         if len(s.joins) > 63:
             self.fail("resource_limit", "more than 63 ASOF joins")

@@ -18,6 +18,7 @@ SETTINGS = {
 def configure(spark: SparkSession) -> SparkSession:
     """A session of its own over the same context, with SETTINGS; the caller's session stays as it is."""
     own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     for k, v in SETTINGS.items():
         own.conf.set(k, v)
     return own

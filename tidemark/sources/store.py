@@ -94,10 +94,10 @@ class VersionLog:
         commits = self.commits if commits is None else commits
         spec = self.spec
         fields = ", ".join(f"`{c.name}` {c.type.spark().simpleString()}" for c in spec.columns)
-        schema = f"{fields}, _pos bigint, _ord bigint, _op string, _bucket bigint"
+        schema = f"{fields}, _pos bigint, _ord bigint, _op string, _bucket bigint, _commit string"
         paths = [f"{self.root}/{c.path}" for c in commits if c.rows]
-        df = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
-        return df.drop("_bucket")
+        df = self.spark.read.schema(schema).option("basePath", self.root).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return df.drop("_bucket", "_commit")
 
     def boundary(self, as_of: int | None) -> int:
         """The greatest position committed at or before a system time; 0 if none."""
@@ -169,7 +169,7 @@ class VersionLog:
 
     def _write(self, df: DataFrame, time_ns: int | None, client: str, batch: str, digest: str, rows: int) -> Commit:
         spec, position = self.spec, (self.commits[-1].position if self.commits else 0) + 1
-        path = f"p{position}-{uuid.uuid4().hex}"
+        path = f"_commit=p{position}-{uuid.uuid4().hex}"
         order = list(dict.fromkeys([*spec.order_key, spec.event_time]))
         # ordinals: order of the rows in the table's key order within each file part
         out = df.withColumn("_pos", F.lit(position).cast("long")).withColumn("_bucket", F.floor(F.col(spec.event_time) / F.lit(spec.bucket_ns)).cast("long"))
@@ -243,7 +243,7 @@ class VersionLog:
         # the last version of each identity stays even as a tombstone only if a later read could name the identity again
         w = Window.partitionBy(*self.identity()).orderBy(F.col("_pos").desc(), F.col("_ord").desc())
         last = log.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n") if self.identity() else log
-        path = f"c{edge}-{uuid.uuid4().hex}"
+        path = f"_commit=c{edge}-{uuid.uuid4().hex}"
         last = last.withColumn("_bucket", F.floor(F.col(self.spec.event_time) / F.lit(self.spec.bucket_ns)).cast("long"))
         last.sortWithinPartitions(*self.spec.order_key).write.partitionBy("_bucket").parquet(f"{self.root}/{path}")
         rows = self.spark.read.parquet(f"{self.root}/{path}").count()
@@ -261,10 +261,10 @@ class VersionLog:
         if not self.commits:
             return
         log = self.log()
-        path = f"f{self.commits[-1].position}-{uuid.uuid4().hex}"
+        path = f"_commit=f{self.commits[-1].position}-{uuid.uuid4().hex}"
         out = log.withColumn("_bucket", F.floor(F.col(self.spec.event_time) / F.lit(self.spec.bucket_ns)).cast("long"))
         out.repartition("_bucket").sortWithinPartitions("_bucket", *self.spec.order_key).write.partitionBy("_bucket").parquet(f"{self.root}/{path}")
-        new = self.spark.read.schema(log.schema).parquet(f"{self.root}/{path}")
+        new = self.spark.read.schema(log.schema).parquet(f"{self.root}/{path}").select(*log.columns)
         if check and not (log.exceptAll(new).isEmpty() and new.exceptAll(log).isEmpty()):
             raise StoreError("invalid", "compaction changed rows")
         last = self.commits[-1]
