@@ -29,11 +29,11 @@ def asof_join(left: DataFrame, right: DataFrame, on: list[tuple], left_time: Col
     keys = [f"__k{i}" for i in range(n)]
     rank = lambda t: F.struct(t.isNull().alias("n"), t.alias("v"))  # noqa: E731  NULL above all
     tie = F.struct(*[rank(t).alias(f"t{i}") for i, t in enumerate(ties)]) if ties else F.struct(F.lit(0).alias("t"))
-    r = right.select(*rk, right_time.alias("__t"), tie.alias("__tie"), F.struct(*[right[c].alias(c) for c in right.columns]).alias("__r"))
+    r = right.select(*rk, right_time.alias("__t"), tie.alias("__tie"), F.struct(*[F.col(f"`{c}`").alias(c) for c in right.columns]).alias("__r"))
     r = r.where(F.col("__t").isNotNull())
     for k in keys:
         r = r.where(F.col(k).isNotNull())
-    l = left.select(*lk, left_time.alias("__t"), F.struct(*[left[c].alias(c) for c in left.columns]).alias("__l"))  # noqa: E741
+    l = left.select(*lk, left_time.alias("__t"), F.struct(*[F.col(f"`{c}`").alias(c) for c in left.columns]).alias("__l"))  # noqa: E741
     both = r.select(*keys, "__t", F.lit(0).alias("__side"), "__tie", "__r", F.lit(None).cast(l.schema["__l"].dataType).alias("__l")).unionByName(
         l.select(*keys, "__t", F.lit(1).alias("__side"), F.lit(None).cast(r.schema["__tie"].dataType).alias("__tie"), F.lit(None).cast(r.schema["__r"].dataType).alias("__r"), "__l")
     )
