@@ -239,7 +239,11 @@ class _Member(_Buffer):
     def leave(self, start: int) -> None:
         """Goes to the next member: by the length in the header, or else by decoding the rest."""
         if self.whole is not None and not self.z.eof:
-            self.outer.skip(start + self.whole - self.outer.at)
+            left = start + self.whole - self.outer.at
+            if left < 0:  # a short member: what was taken beyond it goes back
+                self.outer.pos += left
+                self.outer.at += left
+            self.outer.skip(left)
             return
         while not self.z.eof:
             self.data, self.pos = b"", 0
