@@ -140,7 +140,7 @@ def links(fps: DataFrame, bits: int = 2) -> DataFrame:
     least = var.groupBy("tag", "rest").agg(F.min("fp").alias("a"), F.max("fp").alias("z"), F.count("*").alias("n")).where("n > 1")
     # a bucket of two needs no second look; larger ones send each member to the least
     two = least.where("n = 2").select("a", F.col("z").alias("b"))
-    many = var.join(least.where("n > 2").select("tag", "rest", "a"), ["tag", "rest"]).where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
+    many = var.join(least.where("n > 2").select("tag", "rest", "a").hint("merge"), ["tag", "rest"]).where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
     return met.where("not heavy").select("a", "b").union(two).union(many)
 
 
