@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -72,6 +73,12 @@ def saved(df: DataFrame, *partition_by: str) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the JVM find the shuffles of finished jobs, so that their files go now and not at some later collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def forget(df: DataFrame) -> None:
     """Deletes what saved() wrote; only for tables that no later plan reads."""
     drop(df.sparkSession, df._scratch)

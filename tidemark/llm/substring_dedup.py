@@ -10,9 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from tidemark.llm.common import SPLIT, body, forget, load, saved, words
+from tidemark.llm.common import SPLIT, body, forget, load, release, saved, words
 from tidemark.llm.fm_index import FMIndex
 
 #: Words of an anchor; each window of `width` words has one, the least by hash of those inside it.
@@ -119,6 +118,14 @@ def _passage(w: Column, lo: Column, hi: Column, width: int) -> Column:
     return F.array_join(F.slice(w, lo + 1, hi - lo + width), " ")
 
 
+def _passages(d: DataFrame, items: DataFrame, width: int) -> DataFrame:
+    """(doc_id, th, item, n_words, passage): the words of each item's windows, lo to hi, from d (doc_id, th, t)."""
+    mine = items.groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(F.collect_set("item").alias("items"))
+    e = d.join(mine.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t"))).withColumn("w", words(F.col("t")))
+    e = e.select("doc_id", "th", "w", F.explode("items").alias("item"))
+    return e.select("doc_id", "th", "item", F.size("w").alias("n_words"), _passage(F.col("w"), F.col("item.lo"), F.col("item.hi"), width).alias("passage"))
+
+
 def repeats(docs: DataFrame, width: int = 35) -> DataFrame:
     """(doc_id, th, stretches array<struct<at, n>>): for documents with repeated windows, the stretches of words (from 1) that none covers; th is the hash of the text.
 
@@ -130,17 +137,24 @@ def repeats(docs: DataFrame, width: int = 35) -> DataFrame:
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("t")).withColumn("th", F.xxhash64("t"))
     flat = d.select("doc_id", "th", F.transform(words(F.col("t")), lambda x: F.xxhash64(x)).alias("h"))
-    runs = flat.mapInArrow(lambda it: _anchors(it, width), "anchor long, doc_id long, th long, run long")
-    w = Window.partitionBy("anchor").orderBy("doc_id", "run")
-    met = runs.withColumn("i", F.row_number().over(w)).withColumn("more", F.lead("run").over(w)).where("i > 1 or more is not null").select("anchor", "doc_id", "th", "run")
-    mine = met.groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(F.collect_set(F.struct("anchor", "run")).alias("runs"))
-    e = d.join(mine.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t"))).withColumn("w", words(F.col("t")))
-    e = e.select("doc_id", "th", "w", F.explode("runs").alias("r")).select("doc_id", "th", "r.anchor", F.shiftright("r.run", 32).cast("int").alias("lo"), F.col("r.run").bitwiseAND(0xFFFFFFFF).cast("int").alias("hi"), "w")
-    occ = saved(e.select("anchor", "doc_id", "th", "lo", F.size("w").alias("n_words"), _passage(F.col("w"), F.col("lo"), F.col("hi"), width).alias("passage")).withColumn("p1", F.xxhash64("passage")).withColumn("p2", F.xxhash64(F.lit(1), "passage")))
-    reg = saved(occ.groupBy("anchor", "p1", "p2").agg(F.count("*").alias("n"), F.first("passage").alias("passage")))
-    twice = reg.where("n > 1").select("anchor", "p1", "p2", F.lit(0).cast("long").alias("lo"), F.size(F.split("passage", " ")).cast("long").alias("hi"))
+    runs = saved(flat.mapInArrow(lambda it: _anchors(it, width), "anchor long, doc_id long, th long, run long"))
+    # counts are summed before the shuffle, and a hot anchor's rows are split in the join
+    often = runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    met = saved(runs.join(often.hint("merge"), "anchor"))
+    forget(runs)
+    release(spark)
+    runs_of = met.select("doc_id", "th", F.struct("anchor", F.shiftright("run", 32).cast("int").alias("lo"), F.col("run").bitwiseAND(0xFFFFFFFF).cast("int").alias("hi")).alias("item"))
+    occ = _passages(d, runs_of, width).withColumn("p1", F.xxhash64("passage")).withColumn("p2", F.xxhash64(F.lit(1), "passage"))
+    occ = saved(occ.select("item.anchor", "doc_id", "th", "item.lo", "item.hi", "n_words", "p1", "p2"))
+    forget(met)
+    release(spark)
+    reg = saved(occ.groupBy("anchor", "p1", "p2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "lo", "hi")).alias("rep")))
+    twice = reg.where("n > 1").select("anchor", "p1", "p2", F.lit(0).cast("long").alias("lo"), (F.col("rep.hi") - F.col("rep.lo") + width).cast("long").alias("hi"))
     per = reg.groupBy("anchor").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1")
-    open_ = reg.join(per.select("anchor", "m"), "anchor")
+    # words are fetched only for passages that have to be compared
+    want = reg.join(per.select("anchor", "m").hint("merge"), "anchor").select("rep.doc_id", "rep.th", F.struct("rep.lo", "rep.hi", "anchor", "p1", "p2", "n", "m").alias("item"))
+    open_ = saved(_passages(d, want, width).select("item.anchor", "item.p1", "item.p2", "item.n", "item.m", "passage"))
+    release(spark)
     calm = open_.where(F.col("m") <= HOT).select("anchor", "p1", "p2", "n", "passage", F.col("anchor").alias("meet"))
     # passages of a very common anchor: window by window, keyed by more of each window; keys seen once drop out
     ws = open_.where(F.col("m") > HOT).withColumn("w", F.split("passage", " "))
@@ -159,11 +173,13 @@ def repeats(docs: DataFrame, width: int = 35) -> DataFrame:
     deep = find(hot.select(F.col("meet").alias("anchor"), "p1", "p2", "n", "passage", F.pmod(F.xxhash64("meet"), F.lit(shards)).alias("shard"))).select(F.col("anchor").alias("meet"), F.col("p1").alias("q1"), F.col("p2").alias("q2"))
     deep = ws.join(deep, (ws["meet"] == deep["meet"]) & (F.xxhash64("one") == F.col("q1")) & (F.xxhash64(F.lit(1), "one") == F.col("q2"))).select("anchor", "p1", "p2", F.col("at").cast("long").alias("lo"), (F.col("at") + width).cast("long").alias("hi"))
     iv = saved(twice.union(found).union(again).union(deep))
+    release(spark)
     out = occ.select("anchor", "p1", "p2", "doc_id", "th", "n_words", F.col("lo").alias("base")).join(iv, ["anchor", "p1", "p2"])
     out = out.groupBy("doc_id", "th", "n_words").agg(F.collect_set(F.struct((F.col("base") + F.col("lo")).cast("int").alias("lo"), (F.col("base") + F.col("hi")).cast("int").alias("hi"))).alias("covered"))
     out = saved(out.select("doc_id", "th", _stretches("n_words", "covered").alias("stretches")))
-    for x in (occ, reg, ws, iv):
+    for x in (occ, reg, open_, ws, iv):
         forget(x)
+    release(spark)
     return out
 
 
@@ -175,13 +191,14 @@ def substring_dedup(docs: DataFrame, width: int = 35) -> DataFrame:
     are joined by one space.  Null texts have no words; repeated rows are documents of their own, so they lose
     every window; documents with fewer words than a window lose none.  Other columns pass unchanged.
     """
-    r = repeats(docs, width).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "stretches")
-    d = docs.withColumn("_body", body()).withColumn("_w", words(F.col("_body")))
-    d = d.join(r.hint("shuffle_hash"), d["doc_id"].cast("long").eqNullSafe(r["_d"]) & (F.xxhash64("_body") == F.col("_t")), "left")
-    d = d.withColumn("_n", F.size("_w").cast("long")).withColumn("_kept", F.when(F.col("stretches").isNotNull(), F.flatten(F.transform("stretches", lambda s: F.slice(F.col("_w"), s["at"], s["n"])))))
+    r = repeats(docs, width).select(F.col("doc_id").alias("__tidemark_d"), F.col("th").alias("__tidemark_t"), F.col("stretches").alias("__tidemark_stretches"))
+    d = docs.withColumn("__tidemark_body", body())
+    d = d.join(r.hint("shuffle_hash"), d["doc_id"].cast("long").eqNullSafe(r["__tidemark_d"]) & (F.xxhash64("__tidemark_body") == F.col("__tidemark_t")), "left")
+    d = d.withColumn("__tidemark_w", words(F.col("__tidemark_body")))  # after the shuffle
+    d = d.withColumn("__tidemark_n", F.size("__tidemark_w").cast("long")).withColumn("__tidemark_kept", F.when(F.col("__tidemark_stretches").isNotNull(), F.flatten(F.transform("__tidemark_stretches", lambda s: F.slice(F.col("__tidemark_w"), s["at"], s["n"])))))
     names = [c for c in docs.columns if c not in ("n_words", "n_removed")]
-    text = F.when(F.col("stretches").isNull(), F.col("_body")).otherwise(F.array_join("_kept", " ")).alias("text")
-    return d.select(*[text if c == "text" else docs[c] for c in names], F.col("_n").alias("n_words"), F.when(F.col("stretches").isNull(), 0).otherwise(F.col("_n") - F.size("_kept")).cast("long").alias("n_removed"))
+    text = F.when(F.col("__tidemark_stretches").isNull(), F.col("__tidemark_body")).otherwise(F.array_join("__tidemark_kept", " ")).alias("text")
+    return d.select(*[text if c == "text" else docs[c] for c in names], F.col("__tidemark_n").alias("n_words"), F.when(F.col("__tidemark_stretches").isNull(), 0).otherwise(F.col("__tidemark_n") - F.size("__tidemark_kept")).cast("long").alias("n_removed"))
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
