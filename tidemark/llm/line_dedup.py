@@ -76,15 +76,15 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches:
         runs.add(keys.where(F.col("batch") == i).select("doc_id", "h1", "h2"))
     repeated = saved(runs.merged().where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_doc"))
     drop(spark, runs.root)
-    gone = keys.join(repeated, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("last_doc"))).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("_gone"))
+    gone = keys.join(repeated, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("last_doc"))).groupBy(F.col("doc_id").alias("__tidemark_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("__tidemark_gone"))
     gone = saved(gone)
     forget(keys), forget(repeated)
     lines = F.split(body(), "\n")
-    out = docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(gone["_id"]), "left")
-    stay = F.filter(F.col("_lines"), lambda x: ~((F.char_length(key(x)) >= min_chars) & F.array_contains(F.col("_gone"), hash128(key(x)))))
-    out = out.withColumn("_lines", lines).withColumn("_stay", F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(stay))
+    out = docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(gone["__tidemark_id"]), "left")
+    stay = F.filter(F.col("__tidemark_lines"), lambda x: ~((F.char_length(key(x)) >= min_chars) & F.array_contains(F.col("__tidemark_gone"), hash128(key(x)))))
+    out = out.withColumn("__tidemark_lines", lines).withColumn("__tidemark_stay", F.when(F.col("__tidemark_gone").isNull(), F.col("__tidemark_lines")).otherwise(stay))
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return out.select(*[F.when(F.col("_gone").isNull(), body()).otherwise(F.array_join("_stay", "\n")).alias("text") if c == "text" else docs[c] for c in names], F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size("_stay")).cast("long").alias("n_dropped"))
+    return out.select(*[F.when(F.col("__tidemark_gone").isNull(), body()).otherwise(F.array_join("__tidemark_stay", "\n")).alias("text") if c == "text" else docs[c] for c in names], F.size("__tidemark_lines").cast("long").alias("n_lines"), (F.size("__tidemark_lines") - F.size("__tidemark_stay")).cast("long").alias("n_dropped"))
 
 
 def cut_lines(docs: DataFrame) -> DataFrame:

@@ -162,8 +162,8 @@ def simhash_dedup(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """Pipeline stage: one document of each group stays, the one with the smallest doc_id.  Columns as those of docs."""
-    one = simhash_dedup(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(one.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(one["_id"]), "left_semi").dropDuplicates(["doc_id"])
+    one = simhash_dedup(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__tidemark_id")).distinct()
+    return docs.join(one.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(one["__tidemark_id"]), "left_semi").dropDuplicates(["doc_id"])
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,7 +50,7 @@ def record(record_id: str, uri: str | None, payload: bytes, refers_to: str | Non
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{clean(record_id)}>", f"WARC-Date: {DATE}"]
-    head += [f"WARC-Target-URI: {clean(uri)}"] * (uri is not None)
+    head += [f"WARC-Target-URI: {clean(uri)}"] if uri is not None else []
     head += [f"WARC-Refers-To: <{clean(refers_to)}>", f"WARC-Profile: {REVISIT}"] if refers_to is not None else []
     head += [f"WARC-Payload-Digest: sha1:{digest(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(head).encode() + block + b"\r\n\r\n"
