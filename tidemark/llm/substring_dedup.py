@@ -16,6 +16,8 @@ from tidemark.llm.fm_index import FMIndex
 
 #: Words of an anchor; each window of `width` words has one, the least by hash of those inside it.
 GRAM = 16
+#: Words whose anchors are sought at a time, at most; a power of two.
+PART = 1 << 22
 #: Words that a shard's index takes, about.
 SHARD_WORDS = 150_000
 #: Anchors with more distinct passages than this are keyed by more of each window.
@@ -37,6 +39,9 @@ def anchor_runs(hashes: np.ndarray, offsets: np.ndarray, width: int, gram: int =
     n = len(hashes)
     if n < width:
         return (np.empty(0, np.int64),) * 4
+    if n > PART:  # one text alone: parts that share width - 1 words hold each window once
+        cut = [(a, anchor_runs(hashes[a : a + PART], np.array([0, len(hashes[a : a + PART])]), width, gram)) for a in range(0, n - width + 1, PART - width + 1)]
+        return tuple(np.concatenate(x) for x in zip(*((d, h, lo + a, hi + a) for a, (d, h, lo, hi) in cut), strict=True))
     with np.errstate(over="ignore"):
         h, have, power = hashes.copy(), 1, np.uint64(0x9E3779B97F4A7C15)
         while have < gram:  # gram is a power of two
@@ -46,8 +51,8 @@ def anchor_runs(hashes: np.ndarray, offsets: np.ndarray, width: int, gram: int =
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
-    key = (h & ~np.uint64((1 << 22) - 1)) | np.arange(n, dtype=np.uint64)  # parts hold at most 2**22 words
-    at = (_sliding_min(key, width - gram + 1) & np.uint64((1 << 22) - 1)).astype(np.int64)
+    key = (h & ~np.uint64(PART - 1)) | np.arange(n, dtype=np.uint64)
+    at = (_sliding_min(key, width - gram + 1) & np.uint64(PART - 1)).astype(np.int64)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     ok = np.zeros(n, bool)
     ok[: n - width + 1] = doc[: n - width + 1] == doc[width - 1 :]
@@ -68,8 +73,6 @@ def _anchors(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
         while first < len(b):
             last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + (1 << 19), "right")) - 1)
             last = min(last, len(b))
-            if offsets[last] - offsets[first] >= 1 << 22:
-                raise ValueError("a text of more than 4 million words")
             doc, anchor, lo, hi = anchor_runs(values[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], width)
             yield pa.RecordBatch.from_arrays([pa.array(anchor), b.column(0).take(pa.array(doc + first)), pa.array(th[doc + first]), pa.array((lo << 32) | hi)], ["anchor", "doc_id", "th", "run"])
             first = last
@@ -162,7 +165,8 @@ def repeats(docs: DataFrame, width: int = 35) -> DataFrame:
     ws = ws.withColumn("meet", F.xxhash64("anchor", F.slice("w", F.col("at") + 1, GRAM), F.slice("w", F.col("at") + 1 + width - GRAM, GRAM))).withColumn("one", F.array_join(F.slice("w", F.col("at") + 1, width), " ")).drop("w")
     ws = saved(ws)
     wins = ws.groupBy("meet", "one").agg(F.sum("n").alias("n"))
-    some = wins.groupBy("meet").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1")
+    # grouping settles keys with more windows than a shard can take
+    some = wins.groupBy("meet").agg(F.count("*").alias("m"), F.min("n").alias("least")).where((F.col("m") > 1) & (F.col("m") <= HOT) & (F.col("least") == 1))
     hot = wins.join(some.select("meet"), "meet").select("meet", F.xxhash64("one").alias("p1"), F.xxhash64(F.lit(1), "one").alias("p2"), "n", F.col("one").alias("passage"))
     again = ws.join(wins.where("n > 1").select("meet", "one"), ["meet", "one"]).select("anchor", "p1", "p2", F.col("at").cast("long").alias("lo"), (F.col("at") + width).cast("long").alias("hi"))
     find = lambda rows: rows.groupBy("shard").applyInPandas(lambda pdf: _search(pdf, width), "anchor long, p1 long, p2 long, lo long, hi long")
