@@ -162,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> tuple
     share a doc_id the least text and the largest label count; null labels are left out."""
     rows = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("_d")).agg(F.max(F.col("toxic").cast("int")).alias("y"))
     pick = rows.orderBy(F.xxhash64("_d"), "_d").limit(examples)
-    sample = saved(docs.join(F.broadcast(pick), docs["doc_id"].cast("long") == F.col("_d")).groupBy("_d", "y").agg(F.min(body()).alias("text")))
+    sample = saved(docs.select(F.col("doc_id").cast("long").alias("_i"), body().alias("_t")).join(F.broadcast(pick), F.col("_i") == F.col("_d")).groupBy("_d", "y").agg(F.min("_t").alias("text")))
 
     def sets(batches):
         for b, texts in _texts(batches):
