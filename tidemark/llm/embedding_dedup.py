@@ -26,6 +26,8 @@ AUDIT = 200
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1.  A power of two keeps squares of very large and very small values in range, and digits as they are."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0))[1][:, None])
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
