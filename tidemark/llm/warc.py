@@ -132,7 +132,9 @@ class WarcReader(DataSourceReader):
     def keep(self, row: dict) -> bool:
         return all(row[c] is not None and (row[c] in v if how == "in" else row[c].startswith(v[0])) for c, how, v in self.tests)
 
-    def read(self, partition: _File) -> Iterator[tuple]:
+    def read(self, partition: _File | None) -> Iterator[tuple]:
+        if partition is None:  # what Spark hands out for an archive without files
+            return
         fs, path = _fs(partition.path)
         with fs.open_input_stream(path, compression=None) as raw:
             yield from self._records(_Buffer(raw), path.endswith(".gz"))
