@@ -70,10 +70,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """Pipeline stage: rejected documents go, boilerplate lines of the others go.  Columns as those of docs."""
     v, over = quality_rules(docs)
-    ok = v.where("kept").select(F.col("doc_id").alias("__tidemark_id"), F.col("th").alias("__tidemark_th"), F.col("n_lost").alias("__tidemark_lost")).distinct()
+    ok = v.where("kept").select(F.col("doc_id").alias("__tidemark_id"), F.col("th").alias("__tidemark_th"), F.col("host").alias("__tidemark_own"), F.col("n_lost").alias("__tidemark_lost")).distinct()
     bad = over.groupBy(F.col("bad_host").alias("__tidemark_host")).agg(F.collect_set("bad_k").alias("__tidemark_bad"))  # at most lines per text / MAX_SHARE
     d = docs.withColumn("__tidemark_t", body()).withColumn("__tidemark_h", hash128(F.col("__tidemark_t")))
-    d = d.join(ok, d["doc_id"].eqNullSafe(ok["__tidemark_id"]) & (d["__tidemark_h"] == ok["__tidemark_th"]), "inner")
+    d = d.join(ok, d["doc_id"].eqNullSafe(ok["__tidemark_id"]) & (d["__tidemark_h"] == ok["__tidemark_th"]) & d["source"].cast("string").eqNullSafe(ok["__tidemark_own"]), "inner")
     d = d.join(F.broadcast(bad) if over.count() <= 50_000 else bad, d["source"].cast("string").eqNullSafe(bad["__tidemark_host"]), "left")
     clean = F.when((F.col("__tidemark_lost") > 0) & F.col("__tidemark_bad").isNotNull(), F.array_join(F.filter(F.split("__tidemark_t", "\n"), lambda x: (strip(x) == "") | ~F.array_contains("__tidemark_bad", hash128(ascii_lower(strip(x))))), "\n")).otherwise(F.col("__tidemark_t"))
     d = d.withColumn("__tidemark_c", clean)
