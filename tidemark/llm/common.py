@@ -73,6 +73,13 @@ def saved(df: DataFrame, *partition_by: str) -> DataFrame:
     return out
 
 
+def restored(docs: DataFrame, operator, *added: str) -> DataFrame:
+    """What the operator leaves of docs, with the columns of docs: own ones named as those it adds stay, and n_chars follows the text."""
+    own = {c: f"__tidemark_own_{c}" for c in docs.columns if c in added}
+    out = operator(docs.withColumnsRenamed(own))
+    return out.select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(own.get(c, c)).alias(c) for c in docs.columns])
+
+
 def release(spark: SparkSession) -> None:
     """Lets the JVM find the shuffles of finished jobs, so that their files go now and not at some later collection."""
     gc.collect()

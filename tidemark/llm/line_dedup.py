@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, body, drop, forget, hash128, load, saved, scratch, strip
+from tidemark.llm.common import ascii_lower, body, drop, forget, hash128, load, restored, saved, scratch, strip
 
 
 def key(line: Column) -> Column:
@@ -89,8 +89,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches:
 
 def cut_lines(docs: DataFrame) -> DataFrame:
     """Pipeline stage.  Columns as those of docs."""
-    out = line_dedup(docs)
-    return out.select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    return restored(docs, line_dedup, "n_lines", "n_dropped")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

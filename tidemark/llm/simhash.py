@@ -18,7 +18,7 @@ PAIRWISE = 48
 
 def _majority(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        lists = b.column(1)
+        lists = b.column(2)
         values = lists.values.to_numpy(zero_copy_only=False).view(np.uint8).reshape(-1, 8)
         at = lists.offsets.to_numpy()
         out = np.zeros((len(b), 8), np.uint8)
@@ -27,18 +27,18 @@ def _majority(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in range(int(at[i]), int(at[i + 1]), 65536):
                 total += np.add.reduce(np.unpackbits(values[k : min(k + 65536, int(at[i + 1]))], axis=1, bitorder="little"), axis=0, dtype=np.int32)
             out[i] = np.packbits(2 * total > n, bitorder="little")
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out.reshape(-1).view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out.reshape(-1).view(np.int64))], ["doc_id", "th", "fp"])
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """(doc_id, fp long): a row per document.  Shingles are hashed in the JVM; bit majorities are taken per Arrow batch.
+    """(doc_id, th, fp long): a row per document; th is the hash of its text.  Shingles are hashed in the JVM; bit majorities are taken per Arrow batch.
 
     Null, empty and blank texts have fingerprint 0; texts of fewer than `size` words are one shingle.
     """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(ascii_lower(body())).alias("w"))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(body()).alias("th"), words(ascii_lower(body())).alias("w"))
     gram = F.transform("w", lambda x, i: F.xxhash64(F.concat_ws(" ", x, *[F.get("w", i + k) for k in range(1, size)])))
     h = F.when(F.size("w") == 0, F.array().cast("array<long>")).otherwise(F.slice(gram, F.lit(1), F.greatest(F.size("w") - (size - 1), F.lit(1))))
-    return d.select("doc_id", h.alias("h")).mapInArrow(_majority, "doc_id long, fp long")
+    return d.select("doc_id", "th", h.alias("h")).mapInArrow(_majority, "doc_id long, th long, fp long")
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,26 +144,38 @@ def links(fps: DataFrame, bits: int = 2) -> DataFrame:
     return met.where("not heavy").select("a", "b").union(two).union(many)
 
 
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th, fp), and for each fp its component c, a fingerprint, with the least doc_id of its documents."""
+    fp = saved(fingerprints(docs))
+    group = components(links(fp))
+    own = fp.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    named = own.join(group, own["fp"] == group["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
+    return fp, saved(named)
+
+
 def simhash_dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, fp long, component_id long): a row per document; component_id is the smallest doc_id reachable by links.
 
     Equal fingerprints are linked.  Repeated rows are documents of their own with equal fingerprints; null doc_ids are
     kept and never give a component its name unless no other is there.  An empty table gives an empty table.
     """
-    fp = saved(fingerprints(docs))
-    group = components(links(fp))
-    own = fp.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    named = own.join(group, own["fp"] == group["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
-    named = saved(named)
+    fp, named = _grouped(docs)
     root = named.groupBy("c").agg(F.min("least").alias("component_id"))
     top = named.join(root, "c").select("fp", "component_id")
     return fp.join(top, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: one document of each group stays, the one with the smallest doc_id.  Columns as those of docs."""
-    one = simhash_dedup(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__tidemark_id")).distinct()
-    return docs.join(one.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(one["__tidemark_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """Pipeline stage: one document of each group stays, the one with the smallest doc_id (nulls last).  Columns as those of docs.
+
+    Rows that share a doc_id but not the text are documents of their own; of those in one group the least text hash stays.
+    """
+    fp, named = _grouped(docs)
+    first = fp.join(named.select("fp", "c"), "fp").groupBy("c").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "th")).alias("one"))
+    one = first.select(F.col("one.doc_id").alias("__tidemark_id"), F.col("one.th").alias("__tidemark_th"))
+    d = docs.withColumn("__tidemark_h", F.xxhash64(body()))
+    d = d.join(one.hint("shuffle_hash"), d["doc_id"].cast("long").eqNullSafe(one["__tidemark_id"]) & (d["__tidemark_h"] == one["__tidemark_th"]), "left_semi")
+    return d.dropDuplicates(["doc_id", "__tidemark_h"]).drop("__tidemark_h")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

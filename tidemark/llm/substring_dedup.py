@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import SPLIT, body, forget, load, release, saved, words
+from tidemark.llm.common import SPLIT, body, forget, load, release, restored, saved, words
 from tidemark.llm.fm_index import FMIndex
 
 #: Words of an anchor; each window of `width` words has one, the least by hash of those inside it.
@@ -207,8 +207,7 @@ def substring_dedup(docs: DataFrame, width: int = 35) -> DataFrame:
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """Pipeline stage.  Columns as those of docs."""
-    out = substring_dedup(docs)
-    return out.select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    return restored(docs, substring_dedup, "n_words", "n_removed")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
