@@ -63,6 +63,11 @@ def drop(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def packed(df: DataFrame, rows: int, each: int = 500_000) -> DataFrame:
+    """df, of `rows` narrow rows at most, in no more tasks than those need: a table of many tiny files costs more than its rows."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def saved(df: DataFrame, *partition_by: str) -> DataFrame:
     """The rows written once to the shared folder and read back: cuts lineage and survives lost executors."""
     spark, path = df.sparkSession, scratch(df.sparkSession)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import forget, saved
+from tidemark.llm.common import forget, packed, saved
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -29,7 +29,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        last, e = e, saved(small)
+        last, e = e, saved(packed(small, 2 * mark[0]))  # no round more than doubles the links
         was, mark = mark, _mark(e)
         forget(last)
         if mark == was:

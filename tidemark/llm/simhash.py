@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, body, forget, load, saved, words
+from tidemark.llm.common import ascii_lower, body, load, packed, saved, words
 from tidemark.llm.components import components
 
 #: Buckets up to this many fingerprints are compared pair by pair; larger ones go through the exact clique variants.
@@ -150,7 +150,7 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     group = components(links(fp))
     own = fp.groupBy("fp").agg(F.min("doc_id").alias("least"))
     named = own.join(group, own["fp"] == group["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
-    return fp, saved(named)
+    return fp, saved(packed(named, fp.count()))
 
 
 def simhash_dedup(docs: DataFrame) -> DataFrame:
