@@ -109,6 +109,30 @@ def test_simhash(spark, texts):
     assert len(set(want.values())) < len(set(fp))
 
 
+def test_keep_first_near_copies(spark):
+    """The pipeline stage takes all texts with a 5-word Jaccard similarity of 0.8 or more, by brute force, as near copies."""
+    rng = random.Random(21)
+    texts = []
+    for _ in range(25):
+        w = prose(rng, rng.randint(60, 200)).split(" ")
+        texts.append(" ".join(w))
+        for _ in range(3):
+            v = list(w)
+            for _ in range(rng.randint(1, 4)):
+                v[rng.randrange(len(v))] = "zz" + prose(rng, 1)
+            texts.append(" ".join(v))
+    hub = prose(rng, 300).split(" ")
+    texts += [" ".join([*hub[:k], f"new{k}", *hub[k + 1 :]]) for k in range(5, 295)] + ["one two", "One  two", "", " "]
+    sets = []
+    for t in texts:
+        w = WORD.findall(t.lower())
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    want = closed(len(texts), lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]), list(range(len(texts))))
+    fps = [fingerprint(t) for t in texts]
+    assert any(want[i] == want[j] and (fps[i] ^ fps[j]).bit_count() > 2 for i in range(100) for j in range(i))
+    assert {r["doc_id"] for r in simhash.keep_first(docs(spark, texts)).collect()} == set(want.values())
+
+
 def test_simhash_large_bucket(spark):
     """Far more fingerprints in a bucket than are compared pair by pair, and all around 0."""
     rng = random.Random(5)

@@ -6,14 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, body, load, packed, saved, words
+from tidemark.llm.common import ascii_lower, body, load, packed, release, saved, words
 from tidemark.llm.components import components
 
 #: Buckets up to this many fingerprints are compared pair by pair; larger ones go through the exact clique variants.
 PAIRWISE = 48
+#: The pipeline stage links texts whose sets of NEAR_WORDS-word shingles have a Jaccard similarity of 4/5 or more.  Its candidates
+#: share one of BANDS bands of DEEP minhashes; a pair at 4/5 is missed with probability (1 - 0.8**DEEP)**BANDS = 3e-5.
+NEAR_WORDS, BANDS, DEEP = 5, 20, 4
 
 
 def _majority(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -30,15 +33,19 @@ def _majority(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out.reshape(-1).view(np.int64))], ["doc_id", "th", "fp"])
 
 
+def _shingles(w: str, size: int) -> Column:
+    """Hashes of the runs of `size` words; no words have none, fewer than `size` words are one."""
+    gram = F.transform(w, lambda x, i: F.xxhash64(F.concat_ws(" ", x, *[F.get(w, i + k) for k in range(1, size)])))
+    return F.when(F.size(w) == 0, F.array().cast("array<long>")).otherwise(F.slice(gram, F.lit(1), F.greatest(F.size(w) - (size - 1), F.lit(1))))
+
+
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     """(doc_id, th, fp long): a row per document; th is the hash of its text.  Shingles are hashed in the JVM; bit majorities are taken per Arrow batch.
 
     Null, empty and blank texts have fingerprint 0; texts of fewer than `size` words are one shingle.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(body()).alias("th"), words(ascii_lower(body())).alias("w"))
-    gram = F.transform("w", lambda x, i: F.xxhash64(F.concat_ws(" ", x, *[F.get("w", i + k) for k in range(1, size)])))
-    h = F.when(F.size("w") == 0, F.array().cast("array<long>")).otherwise(F.slice(gram, F.lit(1), F.greatest(F.size("w") - (size - 1), F.lit(1))))
-    return d.select("doc_id", "th", h.alias("h")).mapInArrow(_majority, "doc_id long, th long, fp long")
+    return d.select("doc_id", "th", _shingles("w", size).alias("h")).mapInArrow(_majority, "doc_id long, th long, fp long")
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,13 +172,72 @@ def simhash_dedup(docs: DataFrame) -> DataFrame:
     return fp.join(top, "fp").select("doc_id", "fp", "component_id")
 
 
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (node, n, shingle hashes, at least one): a row per band, (key, band, node, n)."""
+    rng = np.random.default_rng(6)
+    flip, factor = (rng.integers(0, 2**64, (BANDS, DEEP), np.uint64) for _ in range(2))
+    factor |= np.uint64(1)
+    join = rng.integers(0, 2**64, (BANDS, DEEP), np.uint64) | np.uint64(1)
+    for b in batches:
+        lists = b.column(2)
+        values, at = lists.values.to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
+        for k in range(0, len(b), 256):
+            o = at[k : k + 257]
+            x, start = values[o[0] : o[-1]], o[:-1] - o[0]
+            keys = np.zeros((BANDS, len(start)), np.uint64)
+            for i in range(BANDS):
+                for j in range(DEEP):
+                    h = (x ^ flip[i, j]) * factor[i, j]
+                    least = np.minimum.reduceat(h ^ (h >> np.uint64(32)), start)
+                    keys[i] = (keys[i] ^ least) * join[i, j]
+            own = [np.tile(b.column(c).to_numpy()[k : k + 256], BANDS) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(np.arange(BANDS, dtype=np.int32), len(start))), *map(pa.array, own)], ["key", "band", "node", "n"])
+
+
+def near_links(docs: DataFrame) -> DataFrame:
+    """(a, b): hashes of texts with a Jaccard similarity of 4/5 or more; enough of them to connect every such pair of candidates.
+
+    SimHash has no say here: at 4/5 about ten of 64 bits differ, more than segments with a wildcard can find.  Members of each
+    bucket are verified against one of them first, so that a group of near copies costs a row per member; then every pair
+    of a bucket that is not yet connected is verified, none left out.  Blank texts count as one shingle.
+    """
+
+    def sets(d: DataFrame) -> DataFrame:
+        d = d.select("node", words(ascii_lower(F.col("t"))).alias("w"))
+        return d.select("node", F.array_distinct(F.when(F.size("w") == 0, F.array(F.lit(0).cast("long"))).otherwise(_shingles("w", NEAR_WORDS))).alias("s"))
+
+    texts = docs.select(F.xxhash64(body()).alias("node"), body().alias("t"))
+    rows = saved(sets(texts).select("node", F.size("s").alias("n"), "s").mapInArrow(_bands, "key long, band int, node long, n int").distinct())
+    lead = rows.groupBy("key").agg(F.min_by("node", F.xxhash64(F.col("band") % 4, "node")).alias("lead"), F.count("*").alias("m")).where("m > 1").drop("m")
+    met = saved(rows.join(lead, "key").drop("band"))
+    known = saved(sets(texts.join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        a, b = (known.select(F.col("node").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
+        both = F.size(F.array_intersect("sa", "sb"))
+        return saved(pairs.join(a, "a").join(b, "b").where(9 * both >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b"))
+
+    first = saved(met.where("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct())
+    found = verified(first)
+    m = met.join(components(found), "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
+    m = saved(m.join(m.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"), "key", "left_semi"))
+    l, r = (m.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "c")]) for x in "ab")  # noqa: E741
+    close = (F.col("node_a") < F.col("node_b")) & (F.col("c_a") != F.col("c_b")) & (5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b"))
+    rest = l.join(r, "key").where(close).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    out = found.union(verified(rest))
+    release(docs.sparkSession)
+    return out
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: one document of each group stays, the one with the smallest doc_id (nulls last).  Columns as those of docs.
+    """Pipeline stage: one document of each group of near_links() stays, the one with the smallest doc_id (nulls last).  Columns as those of docs.
 
     Rows that share a doc_id but not the text are documents of their own; of those in one group the least text hash stays.
     """
-    fp, named = _grouped(docs)
-    first = fp.join(named.select("fp", "c"), "fp").groupBy("c").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "th")).alias("one"))
+    group = components(near_links(docs))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(body()).alias("th"))
+    named = ids.join(group, ids["th"] == group["node"], "left").withColumn("c", F.coalesce("component", "th"))
+    first = named.groupBy("c").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "th")).alias("one"))
     one = first.select(F.col("one.doc_id").alias("__tidemark_id"), F.col("one.th").alias("__tidemark_th"))
     d = docs.withColumn("__tidemark_h", F.xxhash64(body()))
     d = d.join(one.hint("shuffle_hash"), d["doc_id"].cast("long").eqNullSafe(one["__tidemark_id"]) & (d["__tidemark_h"] == one["__tidemark_th"]), "left_semi")
