@@ -15,6 +15,8 @@ SPACES = " \t\n\x0b\x0c\r"
 SPLIT = r"[\x20\x09-\x0D]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _left: list[tuple[SparkSession, str]] = []
+#: The folder of sessions that name none.
+_own: list[str] = []
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -46,13 +48,20 @@ def hash128(c: Column) -> Column:
     return F.struct(F.xxhash64(c).alias("h1"), F.xxhash64(F.lit(1), c).alias("h2"))
 
 
+def without(lines: str, gone: str) -> Column:
+    """The lines at places that aren't in `gone`, joined again; linear in the lines."""
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    return F.array_join(F.transform(left, lambda i: F.get(F.col(lines), i)), "\n")
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.  Sessions without it (tests) get a local one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", base) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-        _left.append((spark, base))
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="tidemark-"))
+            _left.append((spark, _own[0]))
+        base = _own[0]
     path = f"{base}/tidemark-{uuid.uuid4().hex}"
     _left.append((spark, path))
     return path
@@ -63,6 +72,11 @@ def drop(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def packed(df: DataFrame, rows: int, each: int = 500_000) -> DataFrame:
     """df, of `rows` narrow rows at most, in no more tasks than those need: a table of many tiny files costs more than its rows."""
     return df.coalesce(max(1, -(-rows // each)))
