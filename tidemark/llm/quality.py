@@ -5,61 +5,63 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, body, hash128, load, saved, strip, words
+from tidemark.llm.common import ascii_lower, body, hash128, load, saved, strip, without, words
 
-#: A line is boilerplate of its host if more than MIN_DOCS and more than MAX_SHARE of the host's distinct texts hold it.
-MIN_DOCS, MAX_SHARE = 10, 0.05
+#: A line is boilerplate of its host if more than MAX_DOCS of the host's documents hold it, however many the host has.
+MAX_DOCS = 50
 #: A document is depleted if boilerplate lines hold more than this share of its words.
 MAX_LOST = 0.7
 
 
 def _figures(docs: DataFrame, host: str) -> DataFrame:
-    """A row per document: counts of its text, and its distinct normalised lines with the words they hold."""
-    no = F.lit(False)
+    """A row per document: counts of its text, and the key and words of each of its lines."""
     d = docs.select("doc_id", F.col(host).cast("string").alias("host"), body().alias("t"))
-    d = d.withColumn("w", words(F.col("t"))).withColumn("ls", F.filter(F.split("t", "\n"), lambda x: strip(x) != ""))
-    d = d.withColumn("n_words", F.size("w").cast("long"))
+    d = d.withColumn("w", words(F.col("t"))).withColumn("all", F.split("t", "\n"))
+    d = d.withColumn("ls", F.filter("all", lambda x: strip(x) != "")).withColumn("n_words", F.size("w").cast("long"))
     grams = F.transform("w", lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2)))
     d = d.withColumn("g", F.slice(grams, F.lit(1), F.greatest(F.col("n_words").cast("int") - 2, F.lit(0))))
     d = d.withColumn("gs", F.sort_array("g"))
-    d = d.withColumn("twice", F.array_distinct(F.filter("gs", lambda x, i: x.eqNullSafe(F.get("gs", i + 1)))))
-    d = d.withColumn("hit", F.when(F.size("twice") > 0, F.transform("g", lambda x: F.array_contains("twice", x))))
-    at = lambda i: F.coalesce(F.get("hit", i), no)
-    covered = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: at(i) | F.when(i >= 1, at(i - 1)).otherwise(no) | F.when(i >= 2, at(i - 2)).otherwise(no))
+    d = d.withColumn("some", F.exists(F.transform("gs", lambda x, i: x.eqNullSafe(F.get("gs", i + 1))), lambda x: x))
+    # windows by hash and place: those with an equal neighbour occur twice
+    d = d.withColumn("at", F.when(F.col("some"), F.sort_array(F.transform("g", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
+    twin = lambda x, i: x["h"].eqNullSafe(F.get("at", i + 1)["h"]) | ((i > 0) & x["h"].eqNullSafe(F.get("at", F.greatest(i - 1, F.lit(0)))["h"]))
+    covered = F.flatten(F.transform(F.filter("at", twin), lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))
     line = lambda x: F.struct(hash128(ascii_lower(strip(x))).alias("k"), F.size(words(x)).alias("n"))
     return d.select(
         "doc_id", "host", hash128(F.col("t")).alias("th"), "n_words",
         F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.regexp_count("t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("ls") - F.size(F.array_distinct("ls"))).cast("long").alias("n_dup_lines"),
-        F.when(F.size("twice") > 0, F.size(covered)).otherwise(0).cast("long").alias("n_repeat_words"),
-        F.transform("ls", line).alias("lines"),
+        F.when(F.col("some"), F.size(F.array_distinct(covered))).otherwise(0).cast("long").alias("n_repeat_words"),
+        F.transform("all", line).alias("lines"),
     )
 
 
-def quality_rules(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_lost: float = MAX_LOST, min_words: int = 50, max_repeat: int = 50) -> tuple[DataFrame, DataFrame]:
-    """Verdicts, and the boilerplate (host, h1, h2) that they rest on.
+def quality_rules(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_lost: float = MAX_LOST, min_words: int = 50, max_repeat: int = 50) -> tuple[DataFrame, DataFrame]:
+    """Verdicts, and the lines that go.
 
-    A verdict row per document: doc_id, th (hash of its text), n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, n_lost (words in boilerplate lines), kept.  Lines are compared without white space at
-    both ends and with A-Z lower-cased; equal texts of a host count once, so a group of copies doesn't
-    make its own lines boilerplate.  Three-word windows and lines are compared by hashes of 64 and 128 bits.  A null
-    or empty text has no words and fails the base rules; null hosts form one host; repeated rows each get a verdict;
-    an empty table gives none.
+    A verdict row per document: doc_id, th (hash of its text), host, n_words, word_chars, n_symbols, n_dup_lines,
+    n_repeat_words, base_failed, n_lost (words in boilerplate lines), kept.  Lines that go: doc_id, th, host, and the places
+    (from 0) of its boilerplate lines.  Lines are compared without white space at both ends and with A-Z lower-cased; a
+    line's documents are counted by distinct doc_id (null is one) for each host, copies included.  Three-word windows and lines
+    are compared by hashes of 64 and 128 bits.  A null or empty text has no words and fails the base rules; null hosts
+    form one host; repeated rows each get a verdict; an empty table gives none.
     """
     f = saved(_figures(docs, host))
-    line = f.select("host", "th", F.explode(F.array_distinct(F.transform("lines", lambda x: x["k"]))).alias("k"))
-    seen = line.groupBy("host", "k", "th").agg(F.lit(1).alias("one")).groupBy("host", "k").agg(F.count("*").alias("n_docs"))
-    hosts = f.groupBy("host", "th").agg(F.lit(1).alias("one")).groupBy(F.col("host").alias("_host")).agg(F.count("*").alias("n_host"))
-    over = seen.where(F.col("n_docs") > min_docs).join(hosts, F.col("host").eqNullSafe(F.col("_host"))).where(F.col("n_docs") > max_share * F.col("n_host")).select(F.col("host").alias("bad_host"), F.col("k").alias("bad_k"))
-    over = saved(over)
-    once = f.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("host").alias("_h"), "lines").dropDuplicates(["_d", "_t", "_h"])
-    lost = once.select("_d", "_t", "_h", F.explode("lines").alias("l")).join(over, F.col("_h").eqNullSafe(F.col("bad_host")) & (F.col("l.k") == F.col("bad_k")))
-    lost = lost.groupBy("_d", "_t", "_h").agg(F.sum("l.n").alias("n"))
+    line = f.select("doc_id", "host", "th", F.posexplode("lines").alias("pos", "l")).where("l.n > 0")
+    line = line.select("doc_id", "host", "th", "pos", "l.n", "l.k")
+    seen = line.groupBy("host", "k", "doc_id").agg(F.lit(1).alias("one")).groupBy("host", "k").agg(F.count("*").alias("n_docs"))
+    over = saved(seen.where(F.col("n_docs") > max_docs).select(F.col("host").alias("_h"), F.col("k").alias("_k")))
+    bad = line.join(over, F.col("host").eqNullSafe(F.col("_h")) & (F.col("k") == F.col("_k"))).select("doc_id", "th", "host", "pos", "n").distinct()
+    bad = bad.groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("host").alias("_h"))
+    gone = saved(bad.agg(F.sum("n").alias("n"), F.collect_set("pos").alias("places")))  # at most the lines of one text
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")) & F.col("host").eqNullSafe(F.col("_h"))
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
-    out = f.join(lost.hint("shuffle_hash"), same, "left").select("doc_id", "th", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), F.coalesce("n", F.lit(0)).cast("long").alias("n_lost"))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_lost") <= max_lost * F.col("n_words"))), over
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    out = f.select("doc_id", "th", "host", *counts).join(gone.drop("places").hint("shuffle_hash"), same, "left")
+    out = out.select("doc_id", "th", "host", *counts, base.alias("base_failed"), F.coalesce("n", F.lit(0)).cast("long").alias("n_lost"))
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("n_lost") <= max_lost * F.col("n_words")))
+    return out, gone.select(F.col("_d").alias("doc_id"), F.col("_t").alias("th"), F.col("_h").alias("host"), "places")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,13 +71,17 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """Pipeline stage: rejected documents go, boilerplate lines of the others go.  Columns as those of docs."""
-    v, over = quality_rules(docs)
-    ok = v.where("kept").select(F.col("doc_id").alias("__tidemark_id"), F.col("th").alias("__tidemark_th"), F.col("host").alias("__tidemark_own"), F.col("n_lost").alias("__tidemark_lost")).distinct()
-    bad = over.groupBy(F.col("bad_host").alias("__tidemark_host")).agg(F.collect_set("bad_k").alias("__tidemark_bad"))  # at most lines per text / MAX_SHARE
+    v, gone = quality_rules(docs)
+    names = ("doc_id", "th", "host")
+    ok = v.where("kept").select(*[F.col(c).alias(f"__tidemark_{c}") for c in names]).distinct()
+    bad = gone.select(*[F.col(c).alias(f"__tidemark_bad_{c}") for c in names], F.col("places").alias("__tidemark_gone"))
+    same = [F.col(f"__tidemark_{c}").eqNullSafe(F.col(f"__tidemark_bad_{c}")) for c in names]
+    ok = ok.join(bad, same, "left").drop(*[f"__tidemark_bad_{c}" for c in names])
     d = docs.withColumn("__tidemark_t", body()).withColumn("__tidemark_h", hash128(F.col("__tidemark_t")))
-    d = d.join(ok, d["doc_id"].eqNullSafe(ok["__tidemark_id"]) & (d["__tidemark_h"] == ok["__tidemark_th"]) & d["source"].cast("string").eqNullSafe(ok["__tidemark_own"]), "inner")
-    d = d.join(F.broadcast(bad) if over.count() <= 50_000 else bad, d["source"].cast("string").eqNullSafe(bad["__tidemark_host"]), "left")
-    clean = F.when((F.col("__tidemark_lost") > 0) & F.col("__tidemark_bad").isNotNull(), F.array_join(F.filter(F.split("__tidemark_t", "\n"), lambda x: (strip(x) == "") | ~F.array_contains("__tidemark_bad", hash128(ascii_lower(strip(x))))), "\n")).otherwise(F.col("__tidemark_t"))
+    mine = d["doc_id"].eqNullSafe(ok["__tidemark_doc_id"]) & (d["__tidemark_h"] == ok["__tidemark_th"])
+    d = d.join(ok.hint("shuffle_hash"), mine & d["source"].cast("string").eqNullSafe(ok["__tidemark_host"]))
+    d = d.withColumn("__tidemark_ls", F.split("__tidemark_t", "\n"))
+    clean = F.when(F.col("__tidemark_gone").isNull(), F.col("__tidemark_t")).otherwise(without("__tidemark_ls", "__tidemark_gone"))
     d = d.withColumn("__tidemark_c", clean)
     return d.select(*[{"text": F.col("__tidemark_c"), "n_chars": F.char_length("__tidemark_c").cast("long")}.get(c, docs[c]).alias(c) for c in docs.columns])
 
@@ -86,11 +92,10 @@ WITH d AS (SELECT doc_id, source AS host, coalesce(text, '') AS t, regexp_extrac
 g AS (SELECT doc_id, unnest(range(1, greatest(len(w) - 1, 1))) AS i, w FROM d),
 h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c FROM g),
 p AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM h WHERE c > 1) GROUP BY doc_id),
-l AS (SELECT doc_id, host, t, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n,
+l AS (SELECT doc_id, host, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n,
              translate(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
-      FROM (SELECT doc_id, host, t, unnest(ls) AS x FROM d)),
-o AS (SELECT host, k FROM (SELECT host, k, count(DISTINCT t) AS n FROM l GROUP BY host, k) AS a
-      JOIN (SELECT host, count(DISTINCT t) AS m FROM d GROUP BY host) AS b USING (host) WHERE n > {MIN_DOCS} AND n > {MAX_SHARE} * m),
+      FROM (SELECT doc_id, host, unnest(ls) AS x FROM d)),
+o AS (SELECT host, k FROM l GROUP BY host, k HAVING count(DISTINCT doc_id) > {MAX_DOCS}),
 x AS (SELECT doc_id, sum(n) AS n FROM l SEMI JOIN o USING (host, k) GROUP BY doc_id),
 f AS (SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
              len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words, coalesce(x.n, 0) AS n_lost
