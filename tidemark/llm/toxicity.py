@@ -17,129 +17,107 @@ from tidemark.llm.common import body, load, saved
 
 #: Labelled examples in the index, at most: those with the least hashes of their doc_id.
 EXAMPLES = 6_000
-#: Terms of the vector space, at most, and the least chi-square of a term with the label.
-TERMS, LEAST_CHI2 = 2_048, 30.0
 #: Nearest examples that vote; weight of the base rate among their votes; examples in a block.
-NEAREST, PRIOR, BLOCK = 15, 0.5, 64
+NEAREST, PRIOR, BLOCK = 50, 0.5, 64
 THRESHOLD = 0.7
 _WORD = re.compile(r"\w+")
-#: Characters of the word beginnings that are terms too; they catch forms of a word not met in the examples.
-STEM = 4
 
 
-def terms(text: str) -> Iterator[str]:
-    """Lower-cased words, and beginnings of longer ones marked with *."""
-    for w in _WORD.findall(text.lower()):
-        yield w
-        if len(w) > STEM:
-            yield w[:STEM] + "*"
+def counted(text: str) -> Counter:
+    """Occurrences of each lower-cased word of the whole text."""
+    return Counter(_WORD.findall(text.lower()))
 
 
-class Space(dict):
-    """Word -> numbers of its terms in the vocabulary; words are looked up once."""
-
-    def __init__(self, vocabulary: list[str]):
-        super().__init__()
-        self.number = {t: i for i, t in enumerate(vocabulary)}
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 300_000:
-            self.clear()
-        both = (self.number.get(word), self.number.get(word[:STEM] + "*") if len(word) > STEM else None)
-        out = self[word] = tuple(x for x in both if x is not None)
-        return out
-
-    def counts(self, text: str) -> Counter:
-        return Counter(chain.from_iterable(map(self.__getitem__, _WORD.findall(text.lower()))))
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start[i] to start[i] + size[i] - 1 of every i, one after the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
 class BlockMaxIndex:
-    """Postings by term, in blocks of examples with the largest weight of each term in each block."""
+    """Postings by term and block of examples, with the largest weight of each term in each block.
 
-    def __init__(self, examples: list[tuple[int, int, dict[int, int]]], idf: np.ndarray):
-        """examples: doc_id, label, and counts by term."""
-        self.idf = idf
+    A term's postings in a block lie together, so a block that isn't wanted is never read.  `read` counts postings read."""
+
+    def __init__(self, examples: list[tuple[int, int, np.ndarray, np.ndarray]], weights: np.ndarray):
+        """examples: doc_id, label, sorted terms and their counts.  weights: of each term."""
+        self.weights, self.read = weights, 0
         rows = []
-        for doc, label, counts in examples:
-            t, w = self.vector(counts)
+        for doc, label, terms, counts in examples:
+            t, w = self.vector(terms, counts)
             # examples with the same strongest term stand together, so that blocks differ in their bounds
-            rows.append((int(t[w.argmax()]) if len(t) else len(idf), doc, label, t, w))
+            rows.append((int(t[w.argmax()]) if len(t) else len(weights), doc, label, t, w))
         rows.sort(key=lambda r: r[:2])
         self.docs = np.array([r[1] for r in rows], np.int64)
         self.labels = np.array([r[2] for r in rows], np.float64)
         term = np.concatenate([r[3] for r in rows]) if rows else np.empty(0, np.int64)
         weight = np.concatenate([r[4] for r in rows]) if rows else np.empty(0)
         row = np.repeat(np.arange(len(rows)), [len(r[3]) for r in rows])
-        order = np.lexsort((row, term))
-        self.row, self.weight = row[order], weight[order]
-        self.at = np.searchsorted(term[order], np.arange(len(idf) + 1))
+        order = np.lexsort((row, term))  # rows of a block are neighbours
+        term, self.row, self.weight = term[order], row[order], weight[order]
+        block = self.row // BLOCK
+        new = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.empty(0, np.int64)
+        #: an entry for each term and block: where its postings start, its block, its largest weight
+        self.start, self.block = np.r_[new, len(term)], block[new]
+        self.most = np.maximum.reduceat(self.weight, new) if len(new) else np.empty(0)
+        self.entry = np.searchsorted(term[new], np.arange(len(weights) + 1))
         self.blocks = -(-len(rows) // BLOCK)
-        self.bound = np.zeros((len(idf), max(1, self.blocks)))
-        np.maximum.at(self.bound, (term, row // BLOCK), weight)
         # base rate of all examples: what a text without any term of the space has to go by
         self.base = float(self.labels.mean()) if rows else 0.5
         self.levels = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and weights of length 1."""
-        t = np.array(sorted(counts), np.int64)
-        w = np.array([1 + math.log(counts[x]) for x in t.tolist()]) * self.idf[t] if len(t) else np.empty(0)
-        n = math.sqrt(float(w @ w))
-        return (t, w / n) if n > 0 else (t[:0], w[:0])
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Terms of a weight above 0, and weights of length 1."""
+        w = (1 + np.log(counts)) * self.weights[terms]
+        terms, w = terms[w > 0], w[w > 0]
+        return terms, w / math.sqrt(float(w @ w)) if len(w) else w
 
-    def nearest(self, counts: dict[int, int], k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the k nearest examples with a cosine above 0; ties go to the smaller row.
 
-        Blocks are taken by falling bound; those whose bound is below the k-th best cosine found are never read."""
-        t, w = self.vector(counts)
+        Blocks are read by falling bound, until no block left can hold one of the k best."""
+        t, w = self.vector(terms, counts)
         if not len(t) or not self.blocks:
             return np.empty(0, np.int64), np.empty(0)
-        bound = w @ self.bound[t]
-        rows = np.concatenate([self.row[self.at[x] : self.at[x + 1]] for x in t])
-        part = np.concatenate([self.weight[self.at[x] : self.at[x + 1]] * y for x, y in zip(t, w, strict=True)])
-        block, score = rows // BLOCK, np.zeros(self.blocks * BLOCK)
-        order = np.argsort(-bound, kind="stable")
+        n = self.entry[t + 1] - self.entry[t]
+        entry, weight = _ranges(self.entry[t], n), np.repeat(w, n)
+        block = self.block[entry]
+        bound = np.bincount(block, weight * self.most[entry], self.blocks)
+        order, score = np.argsort(-bound, kind="stable"), np.zeros(self.blocks * BLOCK)
         taken, least, step = 0, 0.0, 4
         while taken < len(order) and bound[order[taken]] > 0 and bound[order[taken]] >= least - 1e-12:
             use = np.zeros(self.blocks, bool)
             use[order[taken : taken + step]] = True
+            if least:
+                use &= bound >= least - 1e-12
             mine = use[block]
-            score += np.bincount(rows[mine], part[mine], len(score))
+            e = entry[mine]
+            size = self.start[e + 1] - self.start[e]
+            at = _ranges(self.start[e], size)
+            self.read += len(at)
+            score += np.bincount(self.row[at], self.weight[at] * np.repeat(weight[mine], size), len(score))
             taken, step = taken + step, step * 2
             if np.count_nonzero(score) >= k:
                 least = np.partition(score, len(score) - k)[len(score) - k]
-        top = np.flatnonzero(score > 0)
-        if len(top) > k:
-            top = top[np.lexsort((top, -score[top]))[:k]]
-        else:
-            top = top[np.lexsort((top, -score[top]))]
+        top = np.flatnonzero((score > 0) & (score >= least))
+        top = top[np.lexsort((top, -score[top]))[:k]]
         return top, score[top]
 
     def vote(self, rows: np.ndarray, sim: np.ndarray) -> float:
         return float((sim @ self.labels[rows] + PRIOR * self.base) / (sim.sum() + PRIOR))
 
-    def calibrate(self, examples: list[tuple[int, int, dict[int, int]]]) -> None:
-        """Monotone map from votes to the share of label 1, fitted on each example's vote of the others (pooled adjacent violators)."""
-        place = {d: i for i, d in enumerate(self.docs.tolist())}
-        pairs = []
-        for doc, label, counts in examples:
-            rows, sim = self.nearest(counts, NEAREST + 1)
-            other = rows != place[doc]
-            pairs.append((self.vote(rows[other][:NEAREST], sim[other][:NEAREST]), label))
-        pools: list[list[float]] = []
-        for v, group in sorted(Counter(p[0] for p in pairs).items()):
-            del group
-            pools.append([v, v, 0.0, 0.0])
-        index = {p[0]: p for p in pools}
+    def calibrate(self, pairs: list[tuple[float, int]]) -> None:
+        """Monotone map from votes to the share of label 1, fitted on (vote of the others, label) of the examples (pooled adjacent violators)."""
+        sums: dict[float, list[float]] = {}
         for v, y in pairs:
-            index[v][2] += y
-            index[v][3] += 1
+            p = sums.setdefault(v, [v, v, 0.0, 0.0])
+            p[2] += y
+            p[3] += 1
         out: list[list[float]] = []
-        for p in pools:
+        for _, p in sorted(sums.items()):
             out.append(p)
             while len(out) > 1 and out[-2][2] * out[-1][3] >= out[-1][2] * out[-2][3]:
-                b = out.pop()
-                out[-1] = [out[-1][0], b[1], out[-1][2] + b[2], out[-1][3] + b[3]]
+                last = out.pop()
+                out[-1] = [out[-1][0], last[1], out[-1][2] + last[2], out[-1][3] + last[3]]
         if out:
             x = np.array([z for lo, hi, _, _ in out for z in (lo, hi)])
             y = np.array([(s + self.base) / (n + 1) for _, _, s, n in out for _ in (0, 1)])
@@ -155,79 +133,101 @@ def _texts(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         yield b, (x.as_py() or "" for x in b.column(column))
 
 
+def _numbered(number: dict[str, int], text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted numbers of the text's known words, and their counts."""
+    found = sorted((number[w], n) for w, n in counted(text).items() if w in number)
+    return np.array([t for t, _ in found], np.int64), np.array([n for _, n in found], np.float64)
+
+
 def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> tuple[list[str], BlockMaxIndex]:
     """Vocabulary and calibrated index from labels (doc_id, toxic) of docs.
 
-    Terms are chosen by chi-square on the examples; document frequencies are counted over all docs.  Of rows that
-    share a doc_id the least text and the largest label count; null labels are left out."""
+    The space has every word of the examples.  A word weighs its inverse document frequency, counted over all docs, times
+    the root of its chi-square with the label among the examples (1 where the examples have one label only): words without
+    any bearing on the label weigh little, but none is dropped.  Of rows that share a doc_id the least text and the
+    largest label count; null labels are left out."""
+    spark = docs.sparkSession
     rows = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("_d")).agg(F.max(F.col("toxic").cast("int")).alias("y"))
     pick = rows.orderBy(F.xxhash64("_d"), "_d").limit(examples)
-    sample = saved(docs.select(F.col("doc_id").cast("long").alias("_i"), body().alias("_t")).join(F.broadcast(pick), F.col("_i") == F.col("_d")).groupBy("_d", "y").agg(F.min("_t").alias("text")))
+    sample = docs.select(F.col("doc_id").cast("long").alias("_i"), body().alias("_t")).join(F.broadcast(pick), F.col("_i") == F.col("_d"))
+    sample = saved(sample.groupBy("_d", "y").agg(F.min("_t").alias("text")))
 
-    def sets(batches):
+    def words(batches):
         for b, texts in _texts(batches):
-            found = [sorted(set(terms(t))) for t in texts]
+            found = [sorted(counted(t)) for t in texts]
             n = [len(x) for x in found]
             yield pa.RecordBatch.from_arrays([pa.array(list(chain.from_iterable(found)), pa.string()), pa.array(np.repeat(b.column("y").to_numpy(), n).astype(np.int32))], ["term", "y"])
 
     n1, n0 = sample.agg(F.coalesce(F.sum("y"), F.lit(0)), F.coalesce(F.sum(1 - F.col("y")), F.lit(0))).first()
-    a, b = F.col("a"), F.col("b")
-    chi = (n1 + n0) * F.pow(a * (n0 - b) - b * (n1 - a), 2) / ((a + b) * (n1 + n0 - a - b) * F.lit(float(n1)) * F.lit(float(n0)))
-    counted = sample.mapInArrow(sets, "term string, y int").groupBy("term").agg(F.sum("y").cast("double").alias("a"), F.sum(1 - F.col("y")).cast("double").alias("b"))
-    chosen = counted.where(a + b >= 3).withColumn("chi", F.when((n1 > 0) & F.lit(n0 > 0) & (a + b < n1 + n0), chi) if n1 and n0 else F.lit(None).cast("double")).where(F.col("chi") >= LEAST_CHI2)
-    vocabulary = sorted(r["term"] for r in chosen.orderBy(F.desc("chi"), "term").limit(TERMS).collect())
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    known = sample.mapInArrow(words, "term string, y int").groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).toArrow()  # words of the examples
+    order = np.argsort(known.column("term").to_numpy(zero_copy_only=False))
+    vocabulary = known.column("term").take(pa.array(order)).to_pylist()
+    a, b = (known.column(c).to_numpy()[order].astype(float) for c in "ab")
+    shared = spark.sparkContext.broadcast({t: i for i, t in enumerate(vocabulary)})
 
     def frequencies(batches):
-        space, total, n = Space(shared.value), np.zeros(len(shared.value), np.int64), 0
+        """Rows of the words that this task met: one each, summed over its documents."""
+        number, total, n = shared.value, np.zeros(len(shared.value), np.int64), 0
         for b, texts in _texts(batches):
             n += len(b)
             for t in texts:
-                for x in space.counts(t):
-                    total[x] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[np.arange(len(total)), -1].astype(np.int32)), pa.array(np.r_[total, n])], ["term", "df"])
-
-    df = {r["term"]: r["df"] for r in docs.select(body().alias("text")).mapInArrow(frequencies, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()}
-    n = df.get(-1, 0)
-    idf = np.array([math.log((1 + n) / (1 + df.get(i, 0))) + 1 for i in range(len(vocabulary))])
+                total[[number[w] for w in set(_WORD.findall(t.lower())) if w in number]] += 1
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[some, -1].astype(np.int32)), pa.array(np.r_[total[some], n])], ["term", "df"])
+
+    counts = docs.select(body().alias("text")).mapInArrow(frequencies, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    term, df, total = counts.column("term").to_numpy(), counts.column("df").to_numpy(), np.zeros(len(vocabulary))
+    total[term[term >= 0]] = df[term >= 0]
+    weights = np.log((1 + df[term < 0].sum()) / (1 + total)) + 1
+    if n0 and n1:
+        n = n0 + n1
+        weights *= np.sqrt(n * (a * (n0 - b) - b * (n1 - a)) ** 2 / np.maximum((a + b) * (n - a - b) * n1 * n0, 1))
 
     def vectors(batches):
-        space = Space(shared.value)
         for b, texts in _texts(batches):
-            counts = [space.counts(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column("_d"), b.column("y"), pa.array([list(c) for c in counts], pa.list_(pa.int32())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))], ["d", "y", "t", "c"])
-
-    known = sorted((r["d"], r["y"], dict(zip(r["t"], r["c"], strict=True))) for r in sample.select("_d", "y", "text").mapInArrow(vectors, "d long, y int, t array<int>, c array<int>").collect())  # EXAMPLES rows at most
-    index = BlockMaxIndex(known, idf)
-    index.calibrate(known)
+            both = [_numbered(shared.value, t) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column("_d"), b.column("y"), pa.array([x for x, _ in both], pa.list_(pa.int64())), pa.array([x for _, x in both], pa.list_(pa.float64()))], ["d", "y", "t", "c"])
+
+    each = saved(sample.select("_d", "y", "text").mapInArrow(vectors, "d long, y int, t array<long>, c array<double>"))
+    held = each.orderBy("d").toArrow()  # EXAMPLES rows at most
+    index = BlockMaxIndex([(d.as_py(), y.as_py(), t.values.to_numpy(), c.values.to_numpy()) for d, y, t, c in zip(*(held.column(x) for x in "dytc"), strict=True)], weights)
+    trained = spark.sparkContext.broadcast(index)
+
+    def votes(batches):
+        """Each example's vote of the others."""
+        index = trained.value
+        place = {d: i for i, d in enumerate(index.docs.tolist())}
+        for b in batches:
+            out = []
+            for d, t, c in zip(b.column("d"), b.column("t"), b.column("c"), strict=True):
+                rows, sim = index.nearest(t.values.to_numpy(), c.values.to_numpy(), NEAREST + 1)
+                other = rows != place[d.as_py()]
+                out.append(index.vote(rows[other][:NEAREST], sim[other][:NEAREST]))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64()), b.column("y")], ["vote", "y"])
+
+    index.calibrate([(r["vote"], r["y"]) for r in each.mapInArrow(votes, "vote double, y int").collect()])
     return vocabulary, index
 
 
 def toxicity(docs: DataFrame, vocabulary: list[str], index: BlockMaxIndex) -> DataFrame:
     """(doc_id, score, evidence array<long>, words array<string>): a row per document.
 
-    The nearest examples vote with their cosines; evidence holds the doc_ids of the first three, words the terms of the text
-    that weigh most.  Texts without a term of the space (null and empty ones too) get what examples like them get.  Rows
-    are scored one by one, so repeats get equal scores; an empty table gives an empty table."""
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, index))
+    The nearest examples vote with their cosines; evidence holds the doc_ids of the first three, words the known words of
+    the text that weigh most.  Texts without a known word (null and empty ones too) get the base rate's score.  Rows are
+    scored one by one, so repeats get equal scores; an empty table gives an empty table."""
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, {t: i for i, t in enumerate(vocabulary)}, index))
 
     def run(batches):
-        vocabulary, index = shared.value
-        space = Space(vocabulary)
-        none = index.score(index.vote(np.empty(0, np.int64), np.empty(0)))
+        vocabulary, number, index = shared.value
         for b, texts in _texts(batches):
             scores, evidence, words = [], [], []
-            for t in texts:
-                counts = space.counts(t)
-                if not counts:
-                    scores.append(none)
-                    evidence.append([])
-                    words.append([])
-                    continue
-                rows, sim = index.nearest(counts)
+            for text in texts:
+                terms, counts = _numbered(number, text)
+                rows, sim = index.nearest(terms, counts)
                 scores.append(index.score(index.vote(rows, sim)))
                 evidence.append(index.docs[rows[:3]].tolist())
-                words.append([vocabulary[x] for x, _ in sorted(counts.items(), key=lambda z: (-(1 + math.log(z[1])) * index.idf[z[0]], z[0]))[:3]])
+                t, w = index.vector(terms, counts)
+                words.append([vocabulary[x] for x in t[np.lexsort((t, -w))[:3]].tolist()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.string()))], ["doc_id", "score", "evidence", "words"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("text")).mapInArrow(run, "doc_id long, score double, evidence array<long>, words array<string>")
