@@ -25,9 +25,11 @@ REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def _fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    """File system and path; file:/x is read as file:///x, and a bare path as local."""
+    """File system and path; file:/x is read as file:///x, a bare path as local, and Hadoop's names of S3 as s3."""
     if uri.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    if uri.startswith(("s3a://", "s3n://")):
+        uri = "s3" + uri[3:]
     return pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)
 
 
@@ -97,7 +99,11 @@ class WarcWriter(DataSourceWriter):
             f.write(json.dumps(old + [x for m in messages if m for x in m.files]).encode())
 
     def abort(self, messages: list[_Written | None]) -> None:
-        """Files of a failed job stay unnamed by the manifest."""
+        """Files of a failed job go; those of lost tasks stay, unnamed by the manifest."""
+        fs, root = _fs(self.path)
+        for m in messages:
+            for x in m.files if m else ():
+                fs.delete_file(f"{root}/{x}")
 
 
 def _manifest(path: str) -> list[str]:
@@ -113,9 +119,11 @@ def _manifest(path: str) -> list[str]:
 class WarcReader(DataSourceReader):
     """A partition for each file.  Predicates on header columns are tested on the parsed header, before the payload is decoded.
 
-    Options: payload=false leaves payloads undecoded (null); verify=true checks response digests."""
+    Options: payload=false leaves payloads undecoded (null); verify=true checks response digests.  `decoded` counts the
+    bytes that this reader unpacked from gzip members."""
 
     def __init__(self, options: dict):
+        self.decoded = 0
         self.path, self.want, self.check, self.tests = options["path"], options.get("payload", "true") == "true", options.get("verify", "false") == "true", []
 
     def pushFilters(self, filters):
@@ -167,6 +175,7 @@ class WarcReader(DataSourceReader):
                 yield (row["record_id"], row["record_type"], row["target_uri"], row["refers_to"], row["payload_digest"], size, payload if self.want else None)
             if packed:
                 source.leave(start)
+                self.decoded += source.decoded
             else:
                 source.skip(length + 4)
 
@@ -207,7 +216,7 @@ class _Buffer:
             n -= k
 
     def until(self, mark: bytes, most: int | None = None) -> bytes:
-        n = 4096
+        n = 1024
         while True:
             have = self.fill(n)
             i = self.data.find(mark, self.pos, self.pos + have)
@@ -222,7 +231,8 @@ class _Member(_Buffer):
     """The inside of a gzip member; decodes as far as it is asked to."""
 
     def __init__(self, outer: _Buffer):
-        super().__init__(None, 1 << 14)
+        super().__init__(None, 1 << 12)
+        self.decoded = 0
         self.outer, self.whole, self.z = outer, None, zlib.decompressobj(31)
         if outer.fill(24) >= 24 and outer.data[outer.pos + 3] & 4 and outer.data[outer.pos + 12 : outer.pos + 14] == b"sl":
             self.whole = struct.unpack_from("<I", outer.data, outer.pos + 16)[0]
@@ -231,6 +241,7 @@ class _Member(_Buffer):
         while len(self.data) - self.pos < n and not self.z.eof:
             src = self.z.unconsumed_tail or self.outer.take(min(self.outer.fill(1), 1 << 14))
             got = self.z.decompress(src, max(self.block, n - (len(self.data) - self.pos)))
+            self.decoded += len(got)
             if self.z.eof and self.z.unused_data:
                 back = len(self.z.unused_data)
                 self.outer.pos -= back
@@ -292,9 +303,12 @@ def write_pages(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two pushed-down reads of the archive: responses are decoded and held against their digests, revisits are read from
+    headers alone, past the responses' undecoded payloads."""
     path = scratch(spark)
     write_pages(load(spark, sf_dir, "pages"), path)
-    r = spark.read.format("warc").option("path", path).option("payload", "false").option("verify", "true").load().where(F.col("record_type").isin("response", "revisit"))
+    read = lambda **o: spark.read.format("warc").option("path", path).options(payload="false", **o).load()
+    r = read(verify="true").where("record_type = 'response'").unionByName(read().where("record_type = 'revisit'"))
     number = lambda c: F.expr(f"try_cast(substring({c}, 10) as bigint)")
     return r.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
