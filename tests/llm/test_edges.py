@@ -67,9 +67,11 @@ def test_anchor_runs_in_parts(monkeypatch):
     assert sum(int((hi - lo + 1)) for lo, hi in zip(*parts[2:], strict=True)) == 5000 - 34
 
 
-def test_hot_anchors(spark, monkeypatch):
-    """Passages of one anchor beyond HOT: equal windows are found, windows that differ in the middle stay."""
-    monkeypatch.setattr(substring_dedup, "HOT", 4)
+@pytest.mark.parametrize("hot,parts", [(4, 10_000), (4, 2), (2_000, 10_000)])
+def test_hot_anchors(spark, monkeypatch, hot, parts):
+    """Passages of one anchor beyond HOT or a share of 1 / PARTS: equal windows are found, windows that differ in the middle stay."""
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    monkeypatch.setattr(substring_dedup, "PARTS", parts)
     head, tail = [f"h{i}" for i in range(16)], [f"t{i}" for i in range(16)]
     texts = [" ".join([f"p{k}", *head, f"a{k % 9}", "b", "c", *tail, f"q{k}"]) for k in range(12)] + ["solo " * 3]
     split = [t.split() for t in texts]

@@ -20,8 +20,11 @@ GRAM = 16
 PART = 1 << 22
 #: Words that a shard's index takes, about.
 SHARD_WORDS = 150_000
-#: Anchors with more distinct passages than this are keyed by more of each window.
-HOT = 2_000
+#: Anchors with more distinct passages than this are indexed window by window, as are those with more than a share of
+#: 1 / PARTS of all passages; the latter, PARTS at most, are told by a broadcast instead of a shuffle on the anchor.
+HOT, PARTS = 2_000, 10_000
+#: Parts that the passages of a common window are dealt to in the join on the window.
+SALTS = 8
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -79,26 +82,29 @@ def _anchors(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
 
 
 def _search(pdf: pd.DataFrame, width: int) -> pd.DataFrame:
-    """A shard: index its passages, stream those that occur once through the index, and report intervals above the threshold."""
+    """A shard: indexes its passages, streams each through the index, and reports the intervals that occur twice or more.
+
+    A passage stands for n equal ones; it goes into the index once or, for two and more, twice."""
     split = [t.split(" ") for t in pdf["passage"]]
+    twice = np.repeat(np.arange(len(split)), np.minimum(pdf["n"].to_numpy(), 2))
     size = np.array([len(x) for x in split], np.int64)
     ids: dict[str, int] = {}
-    text = np.zeros(int(size.sum()) + len(size), np.int64)
-    start = np.r_[0, np.cumsum(size + 1)][:-1]
-    for s, x in zip(start, split, strict=True):
-        text[s : s + len(x)] = [ids.setdefault(w, len(ids) + 1) for w in x]
+    symbols = [np.array([ids.setdefault(w, len(ids) + 1) for w in x] + [0], np.int64) for x in split]
     del split
+    text = np.concatenate([symbols[i] for i in twice])
+    start = np.zeros(len(size), np.int64)
+    start[twice[::-1]] = (np.cumsum(size[twice] + 1) - size[twice] - 1)[::-1]  # of its first copy
     index = FMIndex(text, width + 1)
-    once = np.flatnonzero(pdf["n"].to_numpy() == 1)
-    count = size[once] - width + 1
-    owner = np.repeat(once, count)
+    count = size - width + 1
+    owner = np.repeat(np.arange(len(size)), count)
     begin = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
     hit = index.matching(text, start[owner] + begin + width - 1, width) >= width
     owner, begin = owner[hit], begin[hit]
     if not len(owner):
         return pd.DataFrame({"anchor": [], "p1": [], "p2": [], "lo": [], "hi": []}).astype("int64")
     new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (begin[1:] > begin[:-1] + width)])
-    return pd.DataFrame({"anchor": pdf["anchor"].to_numpy()[owner[new]], "p1": pdf["p1"].to_numpy()[owner[new]], "p2": pdf["p2"].to_numpy()[owner[new]], "lo": begin[new], "hi": begin[np.r_[new[1:], len(begin)] - 1] + width})
+    key = {c: pdf[c].to_numpy()[owner[new]] for c in ("anchor", "p1", "p2")}
+    return pd.DataFrame(key | {"lo": begin[new], "hi": begin[np.r_[new[1:], len(begin)] - 1] + width})
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("n", T.IntegerType())])))
@@ -129,21 +135,35 @@ def _passages(d: DataFrame, items: DataFrame, width: int) -> DataFrame:
     return e.select("doc_id", "th", "item", F.size("w").alias("n_words"), _passage(F.col("w"), F.col("item.lo"), F.col("item.hi"), width).alias("passage"))
 
 
+def _found(passages: DataFrame, width: int) -> DataFrame:
+    """(anchor, p1, p2, lo, hi): stretches of each passage whose windows occur twice or more.  passages: anchor, p1, p2, n, passage, meet;
+    passages that can share a window have equal `meet`."""
+    words_ = F.size(F.split("passage", " ")) * F.least(F.col("n"), F.lit(2))
+    total = passages.agg(F.sum(words_)).first()[0] or 0
+    shards = max(1, -(-total // SHARD_WORDS))
+    rows = passages.select("anchor", "p1", "p2", "n", "passage", F.pmod(F.xxhash64("meet"), F.lit(shards)).alias("shard"))
+    return rows.groupBy("shard").applyInPandas(lambda pdf: _search(pdf, width), "anchor long, p1 long, p2 long, lo long, hi long")
+
+
 def repeats(docs: DataFrame, width: int = 35) -> DataFrame:
     """(doc_id, th, stretches array<struct<at, n>>): for documents with repeated windows, the stretches of words (from 1) that none covers; th is the hash of the text.
 
     Equal windows have equal anchors at equal places, so all windows that can be equal meet under one anchor.  Windows
-    of a document that share an anchor are one passage; anchors seen once drop out.  Equal passages are counted
-    first: those found twice are covered whole.  The others go, with the distinct passages of their anchor, to a shard
-    with an FM-index, and each is matched against it.
+    of a document that share an anchor are one passage; anchors seen once drop out.  Equal passages are counted into
+    one row before the shuffle.  The distinct passages of an anchor go to one shard with an FM-index, and are streamed
+    through it.  Those of a very common anchor go window by window, dealt by the whole window, so that no shard or task
+    has to hold the anchor.
     """
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("t")).withColumn("th", F.xxhash64("t"))
     flat = d.select("doc_id", "th", F.transform(words(F.col("t")), lambda x: F.xxhash64(x)).alias("h"))
     runs = saved(flat.mapInArrow(lambda it: _anchors(it, width), "anchor long, doc_id long, th long, run long"))
-    # counts are summed before the shuffle, and a hot anchor's rows are split in the join
-    often = runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    met = saved(runs.join(often.hint("merge"), "anchor"))
+    # counts are summed before the shuffle
+    often = saved(runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
+    total = often.agg(F.sum("n")).first()[0] or 0
+    common = often.where(F.col("n") > max(HOT, total // PARTS)).select("anchor")  # PARTS rows at most
+    rare = runs.join(F.broadcast(common), "anchor", "left_anti").join(often.select("anchor").hint("merge"), "anchor")
+    met = saved(rare.union(runs.join(F.broadcast(common), "anchor")))
     forget(runs)
     release(spark)
     runs_of = met.select("doc_id", "th", F.struct("anchor", F.shiftright("run", 32).cast("int").alias("lo"), F.col("run").bitwiseAND(0xFFFFFFFF).cast("int").alias("hi")).alias("item"))
@@ -152,36 +172,31 @@ def repeats(docs: DataFrame, width: int = 35) -> DataFrame:
     forget(met)
     release(spark)
     reg = saved(occ.groupBy("anchor", "p1", "p2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "lo", "hi")).alias("rep")))
-    twice = reg.where("n > 1").select("anchor", "p1", "p2", F.lit(0).cast("long").alias("lo"), (F.col("rep.hi") - F.col("rep.lo") + width).cast("long").alias("hi"))
-    per = reg.groupBy("anchor").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1")
-    # words are fetched only for passages that have to be compared
-    want = reg.join(per.select("anchor", "m").hint("merge"), "anchor").select("rep.doc_id", "rep.th", F.struct("rep.lo", "rep.hi", "anchor", "p1", "p2", "n", "m").alias("item"))
-    open_ = saved(_passages(d, want, width).select("item.anchor", "item.p1", "item.p2", "item.n", "item.m", "passage"))
+    calm = reg.join(F.broadcast(common), "anchor", "left_anti")
+    many = calm.groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") > HOT).select("anchor", F.lit(True).alias("wide"))
+    both = calm.join(many, "anchor", "left").withColumn("wide", F.coalesce("wide", F.lit(False)))
+    both = both.unionByName(reg.join(F.broadcast(common), "anchor").withColumn("wide", F.lit(True)))
+    want = both.select("rep.doc_id", "rep.th", F.struct("rep.lo", "rep.hi", "anchor", "p1", "p2", "n", "wide").alias("item"))
+    open_ = saved(_passages(d, want, width).select("item.anchor", "item.p1", "item.p2", "item.n", "item.wide", "passage"))
     release(spark)
-    calm = open_.where(F.col("m") <= HOT).select("anchor", "p1", "p2", "n", "passage", F.col("anchor").alias("meet"))
-    # passages of a very common anchor: window by window, keyed by more of each window; keys seen once drop out
-    ws = open_.where(F.col("m") > HOT).withColumn("w", F.split("passage", " "))
+    found = _found(open_.where("not wide").withColumn("meet", F.col("anchor")), width)
+    # very common anchors: a window is a passage of its own
+    ws = open_.where("wide").withColumn("w", F.split("passage", " "))
     ws = ws.select("anchor", "p1", "p2", "n", "w", F.explode(F.sequence(F.lit(0), F.size("w") - width)).alias("at"))
-    ws = ws.withColumn("meet", F.xxhash64("anchor", F.slice("w", F.col("at") + 1, GRAM), F.slice("w", F.col("at") + 1 + width - GRAM, GRAM))).withColumn("one", F.array_join(F.slice("w", F.col("at") + 1, width), " ")).drop("w")
-    ws = saved(ws)
-    wins = ws.groupBy("meet", "one").agg(F.sum("n").alias("n"))
-    # grouping settles keys with more windows than a shard can take
-    some = wins.groupBy("meet").agg(F.count("*").alias("m"), F.min("n").alias("least")).where((F.col("m") > 1) & (F.col("m") <= HOT) & (F.col("least") == 1))
-    hot = wins.join(some.select("meet"), "meet").select("meet", F.xxhash64("one").alias("p1"), F.xxhash64(F.lit(1), "one").alias("p2"), "n", F.col("one").alias("passage"))
-    again = ws.join(wins.where("n > 1").select("meet", "one"), ["meet", "one"]).select("anchor", "p1", "p2", F.col("at").cast("long").alias("lo"), (F.col("at") + width).cast("long").alias("hi"))
-    find = lambda rows: rows.groupBy("shard").applyInPandas(lambda pdf: _search(pdf, width), "anchor long, p1 long, p2 long, lo long, hi long")
-    total = calm.agg(F.sum(F.size(F.split("passage", " ")))).first()[0] or 0
-    shards = max(1, -(-total // SHARD_WORDS))
-    found = find(calm.select("anchor", "p1", "p2", "n", "passage", F.pmod(F.xxhash64("meet"), F.lit(shards)).alias("shard")))
-    # equal keys of both ends leave only windows that differ in their middle words
-    deep = find(hot.select(F.col("meet").alias("anchor"), "p1", "p2", "n", "passage", F.pmod(F.xxhash64("meet"), F.lit(shards)).alias("shard"))).select(F.col("anchor").alias("meet"), F.col("p1").alias("q1"), F.col("p2").alias("q2"))
-    deep = ws.join(deep, (ws["meet"] == deep["meet"]) & (F.xxhash64("one") == F.col("q1")) & (F.xxhash64(F.lit(1), "one") == F.col("q2"))).select("anchor", "p1", "p2", F.col("at").cast("long").alias("lo"), (F.col("at") + width).cast("long").alias("hi"))
-    iv = saved(twice.union(found).union(again).union(deep))
+    ws = ws.withColumn("one", F.array_join(F.slice("w", F.col("at") + 1, width), " "))
+    ws = saved(ws.select("anchor", "p1", "p2", "n", "at", "one", F.xxhash64("one").alias("q1"), F.xxhash64(F.lit(1), "one").alias("q2")))
+    wins = ws.groupBy("q1", "q2").agg(F.sum("n").alias("n"), F.first("one").alias("passage"))
+    wins = wins.select(F.col("q1").alias("anchor"), F.col("q1").alias("p1"), F.col("q2").alias("p2"), "n", "passage", F.col("q1").alias("meet"))
+    again = _found(wins, width).select(F.col("p1").alias("_q1"), F.col("p2").alias("_q2"), F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("_salt"))
+    mine = (F.col("q1") == F.col("_q1")) & (F.col("q2") == F.col("_q2")) & (F.pmod("p1", F.lit(SALTS)) == F.col("_salt"))
+    at = F.col("at").cast("long")
+    iv = saved(found.union(ws.drop("one").join(again, mine).select("anchor", "p1", "p2", at.alias("lo"), (at + width).alias("hi"))))
     release(spark)
     out = occ.select("anchor", "p1", "p2", "doc_id", "th", "n_words", F.col("lo").alias("base")).join(iv, ["anchor", "p1", "p2"])
-    out = out.groupBy("doc_id", "th", "n_words").agg(F.collect_set(F.struct((F.col("base") + F.col("lo")).cast("int").alias("lo"), (F.col("base") + F.col("hi")).cast("int").alias("hi"))).alias("covered"))
+    covered = F.struct((F.col("base") + F.col("lo")).cast("int").alias("lo"), (F.col("base") + F.col("hi")).cast("int").alias("hi"))
+    out = out.groupBy("doc_id", "th", "n_words").agg(F.collect_set(covered).alias("covered"))
     out = saved(out.select("doc_id", "th", _stretches("n_words", "covered").alias("stretches")))
-    for x in (occ, reg, open_, ws, iv):
+    for x in (often, occ, reg, open_, ws, iv):
         forget(x)
     release(spark)
     return out
