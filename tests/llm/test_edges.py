@@ -95,9 +95,9 @@ def test_packing_of_null_ids(table):
 
 def test_toxicity_of_nulls(spark, table):
     labels = spark.createDataFrame([(3, 1), (4, 0), (5, None), (None, 1), (1, 0), (4, 0), (6, 0)], "doc_id long, toxic int")
-    out = toxicity.toxicity(table, *toxicity.train(table, labels))
+    out = toxicity.toxicity(table, toxicity.train(table, labels))
     assert ids(out) == WANT and all(0 <= r["score"] <= 1 for r in out.collect())
-    assert toxicity.toxicity(table.limit(0), *toxicity.train(table.limit(0), labels)).count() == 0
+    assert toxicity.toxicity(table.limit(0), toxicity.train(table.limit(0), labels)).count() == 0
 
 
 def test_embeddings_repeated(spark):

@@ -348,7 +348,8 @@ def test_toxicity_votes(spark):
     rng = random.Random(18)
     texts = [prose(rng, 30) + (" mean vile" if i % 3 == 0 else " kind") for i in range(90)]
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
-    vocabulary, index = toxicity.train(docs(spark, texts), labels)
+    model = toxicity.train(docs(spark, texts), labels)
+    vocabulary, index = list(model.number.value), model.index.value
     assert set(vocabulary) == {w for t in texts[:60] for w in re.findall(r"\w+", t.lower())} and sorted(index.docs.tolist()) == list(range(60))
     df = Counter(w for t in texts for w in set(t.lower().split()))
     share = Counter((w, i % 3 == 0) for i, t in enumerate(texts[:60]) for w in set(t.lower().split()))
@@ -363,14 +364,14 @@ def test_toxicity_votes(spark):
         return {w: x / size for w, x in v.items()} if size else {}
 
     known = [vector(t) for t in texts[:60]]
-    for r in toxicity.toxicity(docs(spark, texts), vocabulary, index).collect():
+    for r in toxicity.toxicity(docs(spark, texts), model).collect():
         v = vector(texts[r["doc_id"]])
         cos = np.array([sum(x * k.get(w, 0) for w, x in v.items()) for k in known])
         top = np.argsort(-cos, kind="stable")[: toxicity.NEAREST]
         top = top[cos[top] > 0]
         base = 20 / 60
         vote = (cos[top] @ (top % 3 == 0) + toxicity.PRIOR * base) / (cos[top].sum() + toxicity.PRIOR)
-        assert abs(r["score"] - index.score(vote)) < 1e-6 and np.allclose(cos[list(r["evidence"])], cos[top[:3]])
+        assert abs(r["score"] - model.calibration.score(vote)) < 1e-6 and np.allclose(cos[list(r["evidence"])], cos[top[:3]])
 
 
 def test_toxicity(spark):
@@ -378,9 +379,9 @@ def test_toxicity(spark):
     texts = [prose(rng, 40) + (" vile words here" if i % 4 == 0 else "") for i in range(300)] + [None, "", "vile " * 3000]
     d = docs(spark, texts)
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
-    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(d, *toxicity.train(d, labels)).collect()}
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(d, toxicity.train(d, labels)).collect()}
     assert len(got) == 303 and all((got[i] >= 0.7) == (i % 4 == 0) for i in range(200, 300)) and got[300] == got[301] < 0.3 and got[302] > 0.7
-    none = toxicity.toxicity(d, *toxicity.train(d, labels.limit(0)))
+    none = toxicity.toxicity(d, toxicity.train(d, labels.limit(0)))
     assert {0 <= r["score"] <= 1 for r in none.collect()} == {True}
 
 

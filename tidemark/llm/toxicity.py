@@ -6,10 +6,12 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,17 +55,19 @@ class BlockMaxIndex:
         weight = np.concatenate([r[4] for r in rows]) if rows else np.empty(0)
         row = np.repeat(np.arange(len(rows)), [len(r[3]) for r in rows])
         order = np.lexsort((row, term))  # rows of a block are neighbours
-        term, self.row, self.weight = term[order], row[order], weight[order]
-        block = self.row // BLOCK
+        term, row, self.weight = term[order], row[order], weight[order]
+        block = row // BLOCK
         new = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.empty(0, np.int64)
-        #: an entry for each term and block: where its postings start, its block, its largest weight
-        self.start, self.block = np.r_[new, len(term)], block[new]
-        self.most = np.maximum.reduceat(self.weight, new) if len(new) else np.empty(0)
-        self.entry = np.searchsorted(term[new], np.arange(len(weights) + 1))
+        # narrow types, since each executor holds a copy: a posting is its row in the block and its weight
+        self.row = (row % BLOCK).astype(np.uint8)
+        #: an entry for each term and block: where its postings start, its block, its largest weight, rounded up
+        self.start, self.block = np.r_[new, len(term)].astype(np.int32), block[new].astype(np.int16)
+        most = np.maximum.reduceat(self.weight, new) if len(new) else np.empty(0)
+        self.most = np.nextafter(most.astype(np.float32), np.float32(2))
+        self.entry = np.searchsorted(term[new], np.arange(len(weights) + 1)).astype(np.int32)
         self.blocks = -(-len(rows) // BLOCK)
         # base rate of all examples: what a text without any term of the space has to go by
         self.base = float(self.labels.mean()) if rows else 0.5
-        self.levels = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Terms of a weight above 0, and weights of length 1."""
@@ -78,9 +82,9 @@ class BlockMaxIndex:
         t, w = self.vector(terms, counts)
         if not len(t) or not self.blocks:
             return np.empty(0, np.int64), np.empty(0)
-        n = self.entry[t + 1] - self.entry[t]
+        n = (self.entry[t + 1] - self.entry[t]).astype(np.int64)
         entry, weight = _ranges(self.entry[t], n), np.repeat(w, n)
-        block = self.block[entry]
+        block = self.block[entry].astype(np.int64)
         bound = np.bincount(block, weight * self.most[entry], self.blocks)
         order, score = np.argsort(-bound, kind="stable"), np.zeros(self.blocks * BLOCK)
         taken, least, step = 0, 0.0, 4
@@ -91,10 +95,10 @@ class BlockMaxIndex:
                 use &= bound >= least - 1e-12
             mine = use[block]
             e = entry[mine]
-            size = self.start[e + 1] - self.start[e]
-            at = _ranges(self.start[e], size)
+            size = (self.start[e + 1] - self.start[e]).astype(np.int64)
+            at = _ranges(self.start[e].astype(np.int64), size)
             self.read += len(at)
-            score += np.bincount(self.row[at], self.weight[at] * np.repeat(weight[mine], size), len(score))
+            score += np.bincount(np.repeat(block[mine] * BLOCK, size) + self.row[at], self.weight[at] * np.repeat(weight[mine], size), len(score))
             taken, step = taken + step, step * 2
             if np.count_nonzero(score) >= k:
                 least = np.partition(score, len(score) - k)[len(score) - k]
@@ -105,8 +109,11 @@ class BlockMaxIndex:
     def vote(self, rows: np.ndarray, sim: np.ndarray) -> float:
         return float((sim @ self.labels[rows] + PRIOR * self.base) / (sim.sum() + PRIOR))
 
-    def calibrate(self, pairs: list[tuple[float, int]]) -> None:
-        """Monotone map from votes to the share of label 1, fitted on (vote of the others, label) of the examples (pooled adjacent violators)."""
+
+class Calibration:
+    """Monotone map from votes to the share of label 1, fitted on (vote of the others, label) of the examples (pooled adjacent violators)."""
+
+    def __init__(self, pairs: list[tuple[float, int]], base: float):
         sums: dict[float, list[float]] = {}
         for v, y in pairs:
             p = sums.setdefault(v, [v, v, 0.0, 0.0])
@@ -118,16 +125,24 @@ class BlockMaxIndex:
             while len(out) > 1 and out[-2][2] * out[-1][3] >= out[-1][2] * out[-2][3]:
                 last = out.pop()
                 out[-1] = [out[-1][0], last[1], out[-1][2] + last[2], out[-1][3] + last[3]]
-        if out:
-            x = np.array([z for lo, hi, _, _ in out for z in (lo, hi)])
-            y = np.array([(s + self.base) / (n + 1) for _, _, s, n in out for _ in (0, 1)])
-            self.levels = (x, np.maximum.accumulate(y))
+        x = [z for lo, hi, _, _ in out for z in (lo, hi)] or [0.0, 1.0]
+        y = [(s + base) / (n + 1) for _, _, s, n in out for _ in (0, 1)] or [0.0, 1.0]
+        self.levels = (np.array(x), np.maximum.accumulate(np.array(y)))
 
     def score(self, vote: float) -> float:
         """Calibrated, with a small share of the vote itself so that votes on one level stay in order."""
         return min(1.0, max(0.0, 0.98 * float(np.interp(vote, *self.levels)) + 0.02 * vote))
 
 
+@dataclass
+class Model:
+    """What workers need: the numbers of the words and the index as broadcasts, each sent once, and the calibration."""
+
+    number: Broadcast
+    index: Broadcast
+    calibration: Calibration
+
+
 def _texts(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, Iterator[str]]]:
     for b in batches:
         yield b, (x.as_py() or "" for x in b.column(column))
@@ -139,8 +154,8 @@ def _numbered(number: dict[str, int], text: str) -> tuple[np.ndarray, np.ndarray
     return np.array([t for t, _ in found], np.int64), np.array([n for _, n in found], np.float64)
 
 
-def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> tuple[list[str], BlockMaxIndex]:
-    """Vocabulary and calibrated index from labels (doc_id, toxic) of docs.
+def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
+    """Index and calibration from labels (doc_id, toxic) of docs.
 
     The space has every word of the examples.  A word weighs its inverse document frequency, counted over all docs, times
     the root of its chi-square with the label among the examples (1 where the examples have one label only): words without
@@ -205,26 +220,27 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> tuple
                 out.append(index.vote(rows[other][:NEAREST], sim[other][:NEAREST]))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64()), b.column("y")], ["vote", "y"])
 
-    index.calibrate([(r["vote"], r["y"]) for r in each.mapInArrow(votes, "vote double, y int").collect()])
-    return vocabulary, index
+    pairs = [(r["vote"], r["y"]) for r in each.mapInArrow(votes, "vote double, y int").collect()]  # EXAMPLES rows at most
+    return Model(shared, trained, Calibration(pairs, index.base))
 
 
-def toxicity(docs: DataFrame, vocabulary: list[str], index: BlockMaxIndex) -> DataFrame:
+def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, evidence array<long>, words array<string>): a row per document.
 
     The nearest examples vote with their cosines; evidence holds the doc_ids of the first three, words the known words of
     the text that weigh most.  Texts without a known word (null and empty ones too) get the base rate's score.  Rows are
     scored one by one, so repeats get equal scores; an empty table gives an empty table."""
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, {t: i for i, t in enumerate(vocabulary)}, index))
+    number_, index_, calibration = model.number, model.index, model.calibration
 
     def run(batches):
-        vocabulary, number, index = shared.value
+        number, index = number_.value, index_.value
+        vocabulary = list(number)  # in the order of the numbers
         for b, texts in _texts(batches):
             scores, evidence, words = [], [], []
             for text in texts:
                 terms, counts = _numbered(number, text)
                 rows, sim = index.nearest(terms, counts)
-                scores.append(index.score(index.vote(rows, sim)))
+                scores.append(calibration.score(index.vote(rows, sim)))
                 evidence.append(index.docs[rows[:3]].tolist())
                 t, w = index.vector(terms, counts)
                 words.append([vocabulary[x] for x in t[np.lexsort((t, -w))[:3]].tolist()])
@@ -237,5 +253,5 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     part = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
     model = train(docs, load(spark, sf_dir, "labels").select("doc_id", "toxic").where(part != 1))
-    out = toxicity(docs, *model)
+    out = toxicity(docs, model)
     return out.select("doc_id", (part == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
