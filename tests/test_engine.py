@@ -1,6 +1,7 @@
 """The dialect, value semantics, LATEST BY, ASOF, the version log, views and subscriptions."""
 
 import datetime
+import random
 from decimal import Decimal
 
 import pytest
@@ -13,7 +14,7 @@ from tidemark.plans.syntax import SqlError, parse
 from tidemark.session import configure
 from tidemark.sources import interop
 from tidemark.sources.store import StoreError
-from tidemark.streaming.subscription import SubscriptionError
+from tidemark.streaming.subscription import CommitOrder, SubscriptionError, SubscriptionLog
 from tidemark.streaming.view import CORRECTED, FINALIZED, PROVISIONAL, View, ViewError, ViewSpec
 
 CREATE = """CREATE TABLE {name} (ts TIMESTAMP_NS NOT NULL, symbol SYMBOL NOT NULL, price FLOAT64, qty INT64) EVENT TIME ts ORDER KEY (symbol, ts)
@@ -25,13 +26,27 @@ def ts(n: int) -> str:
     return f"TIMESTAMP '1970-01-01 00:00:00.{n:09d}Z'"
 
 
+def made(seed: int, n: int, symbols: str) -> list[tuple]:
+    """(ts, symbol, price) with times of their own and prices in quarters, some of them NULL."""
+    rng = random.Random(seed)
+    times = rng.sample(range(100, 5000), n)
+    return [(t, rng.choice(symbols), None if rng.random() < 0.15 else rng.randint(-40, 40) / 4) for t in times]
+
+
+TRADES, QUOTES = made(1, 40, "KLMN"), made(2, 30, "KLM")
+
+
+def insert(e, table, rows, column):
+    e.execute(f"INSERT INTO {table} (ts, symbol, {column}) VALUES " + ", ".join(f"({ts(t)}, '{s}', {'NULL' if v is None else v})" for t, s, v in rows))
+
+
 @pytest.fixture
 def eng(spark, tmp_path):
     e = Engine(spark, f"file://{tmp_path}")
     e.execute(CREATE.format(name="trades"))
-    e.execute(f"INSERT INTO trades (ts, symbol, price) VALUES ({ts(10)}, 'A', 1.0), ({ts(20)}, 'A', 2.0), ({ts(15)}, 'B', -1.0), ({ts(12)}, 'C', 3.0)")
+    insert(e, "trades", TRADES, "price")
     e.execute(CREATE.format(name="quotes").replace("price", "bid"))
-    e.execute(f"INSERT INTO quotes (ts, symbol, bid) VALUES ({ts(5)}, 'A', 10.0), ({ts(18)}, 'A', 11.0), ({ts(21)}, 'A', 12.0)")
+    insert(e, "quotes", QUOTES, "bid")
     return e
 
 
@@ -39,22 +54,48 @@ def rows(df):
     return [tuple(r) for r in df.collect()]
 
 
+def prior(t, symbol):
+    """The quote at or before a time."""
+    return max((q for q in QUOTES if q[1] == symbol and q[0] <= t), default=(None, None, None))
+
+
+def test_asof_in_the_dialect(eng):
+    """Every trade with its last quote, inner and left, against a search for each."""
+    sql = "SELECT t.ts AS ts, q.ts AS at, q.bid AS bid FROM trades AS t ASOF {} quotes AS q ON t.symbol = q.symbol AND q.ts <= t.ts ORDER BY t.ts"
+    want = [(t, prior(t, s)[0], prior(t, s)[2]) for t, s, _ in sorted(TRADES)]
+    assert rows(eng.sql(sql.format("LEFT JOIN"))) == want
+    assert rows(eng.sql(sql.format("JOIN"))) == [x for x in want if x[1] is not None]
+
+
 def test_latest_asof_where_order_limit(eng):
-    out = rows(eng.sql("SELECT t.symbol AS symbol, t.ts AS ts, q.bid AS bid FROM trades AS t LATEST BY (symbol) ON ts ASOF LEFT JOIN quotes AS q ON t.symbol = q.symbol AND q.ts <= t.ts WHERE t.price > 0.0 ORDER BY q.bid ASC NULLS LAST LIMIT 2"))
-    assert out == [("A", 20, 11.0), ("C", 12, None)]
+    last = {s: max(x for x in TRADES if x[1] == s) for s in "KLMN"}
+    want = [(s, t, prior(t, s)[2]) for s, (t, _, p) in last.items() if p is not None and p <= 40]
+    want.sort(key=lambda x: (x[2] is None, -(x[2] or 0)))
+    out = rows(eng.sql("SELECT t.symbol AS symbol, t.ts AS ts, q.bid AS bid FROM trades AS t LATEST BY (symbol) ON ts ASOF LEFT JOIN quotes AS q ON t.symbol = q.symbol AND q.ts <= t.ts WHERE t.price <= 40.0 ORDER BY q.bid DESC NULLS LAST LIMIT 3"))
+    assert len(out) == min(3, len(want)) and {x[2] for x in out} == {x[2] for x in want[:3]} and set(out) <= set(want)
 
 
 def test_grouped_aggregates(eng):
-    eng.execute(f"INSERT INTO trades (ts, symbol, price) VALUES ({ts(16)}, 'D', NULL)")
-    out = rows(eng.sql("SELECT symbol, count(*) AS n, count(price) AS c, sum(price) AS s, var_pop(price) AS vp, var_samp(price) AS vs FROM trades GROUP BY symbol ORDER BY symbol"))
-    assert out[0] == ("A", 2, 2, 3.0, 0.25, 0.5) and out[3] == ("D", 1, 0, None, None, None) and out[1][4:] == (0.0, None)
+    eng.execute(f"INSERT INTO trades (ts, symbol, price) VALUES ({ts(7)}, 'Z', NULL)")
+    out = {r[0]: r[1:] for r in rows(eng.sql("SELECT symbol, count(*) AS n, count(price) AS c, sum(price) AS s, var_pop(price) AS vp, var_samp(price) AS vs FROM trades GROUP BY symbol"))}
+    assert out.pop("Z") == (1, 0, None, None, None)
+    for s in "KLMN":
+        v = [p for _, x, p in TRADES if x == s and p is not None]
+        mean = sum(v) / len(v)
+        m2 = sum((x - mean) ** 2 for x in v)
+        assert out[s] == (sum(x == s for _, x, _ in TRADES), len(v), sum(v), pytest.approx(m2 / len(v)), pytest.approx(m2 / (len(v) - 1)))
 
 
 def test_exact_sum(spark, tmp_path):
+    """Sums beyond bigint on the way are exact; only a final value beyond it is an error."""
     e = Engine(spark, f"file://{tmp_path}")
     e.execute(CREATE.format(name="t"))
-    e.execute(f"INSERT INTO t (ts, symbol, qty) VALUES ({ts(1)}, 'x', 9000000000000000000), ({ts(2)}, 'x', 9000000000000000000), ({ts(3)}, 'x', -9000000000000000000)")
-    assert rows(e.sql("SELECT sum(qty) AS s FROM t")) == [(9 * 10**18,)]
+    rng = random.Random(5)
+    big = [rng.randrange(2**61, 2**63) for _ in range(6)]
+    values = [*big, *[-x + rng.randint(-1000, 1000) for x in big], -(2**62), 12345]
+    e.execute("INSERT INTO t (ts, symbol, qty) VALUES " + ", ".join(f"({ts(i)}, 'x', {v})" for i, v in enumerate(values, 1)))
+    assert rows(e.sql("SELECT sum(qty) AS s FROM t")) == [(sum(values),)]
+    assert rows(e.sql("SELECT sum(qty) AS s FROM t WHERE qty < -4000000000000000000 AND qty > -4700000000000000000 OR qty = 12345")) == [(sum(x for x in values if -47 * 10**17 < x < -4 * 10**18 or x == 12345),)]
     with pytest.raises(Exception, match="overflow|range|OVERFLOW|RANGE"):
         e.sql("SELECT sum(qty) AS s FROM t WHERE qty > 0").collect()
 
@@ -91,35 +132,118 @@ def test_value_semantics(spark):
     assert (r.cut, r.m, r.d, r.big, r.exact) == (Decimal("-1.99"), Decimal("-1.32"), Decimal("0.66"), Decimal("149999999999999999998.685185183"), Decimal("0.1000000000000000055511151"))
 
 
-def test_system_time(spark, tmp_path):
+def history(spark, tmp_path, seed=7, commits=5):
+    """A log of random originals, corrections and tombstones, and a model of it: what is visible after each position."""
     e = Engine(spark, f"file://{tmp_path}")
-    log = e.create(TableSpec("m", (ColumnSpec("ts", SqlType("TIMESTAMP_NS"), False), ColumnSpec("value", SqlType("INT64"), False), ColumnSpec("key", SqlType("STRING"), False)), "ts", ("key",), ("key",), ("key",)))
-    row = lambda v, op=None: e.spark.createDataFrame([(1, v, "k")], "ts long, value long, key string").withColumn("_op", F.lit(op)) if op else e.spark.createDataFrame([(1, v, "k")], "ts long, value long, key string")
-    first = log.append(row(10), "c", "1", 1000)
-    assert log.append(row(10), "c", "1", 1500) == first
-    with pytest.raises(StoreError, match="conflict"):
-        log.append(row(11), "c", "1")
+    spec = TableSpec("m", (ColumnSpec("ts", SqlType("TIMESTAMP_NS"), False), ColumnSpec("value", SqlType("INT64"), False), ColumnSpec("key", SqlType("STRING"), False)), "ts", ("key",), ("key",), ("key",))
+    log, rng, state, model, sent = e.create(spec), random.Random(seed), {}, [{}], []
+    known = set()
+    for p in range(1, commits + 1):
+        new = [f"k{p}-{i}" for i in range(4)]
+        old = rng.sample(sorted(known), min(len(known), 5)) if p % 3 else []
+        given = [(rng.randrange(10**15), rng.randrange(1000), k, "original") for k in new] + [(rng.randrange(10**15), rng.randrange(1000), k, rng.choice(["correction", "tombstone"])) for k in old]
+        df = e.spark.createDataFrame(given, "ts long, value long, key string, _op string")
+        if old:
+            log.apply(df, p * 1000)
+        else:
+            sent.append((df.drop("_op"), f"batch{p}", log.append(df.drop("_op"), "client", f"batch{p}", p * 1000)))
+        for _, v, k, op in given:
+            state.pop(k, None)
+            if op != "tombstone":
+                state[k] = v
+        known |= set(new)
+        model.append(dict(state))
+    return e, log, model, sent
+
+
+def seen(df):
+    return {r.key: r.value for r in df.collect()}
+
+
+@pytest.mark.parametrize("compact", [lambda log: None, lambda log: (log.compact_files(), log.compact_files(), log.vacuum())])
+def test_system_time(spark, tmp_path, compact):
+    """As-of reads at every position, changes of every commit and retries, the same before and after files are merged and after a restart."""
+    e, log, model, sent = history(spark, tmp_path)
+    before = [(c.position, sorted(rows(df.select("key", "value", "_op")))) for c, df in log.changes(0)]
+    compact(log)
+    for again in (log, type(log)(log.spark, f"file://{tmp_path}", log.spec)):
+        for p, want in enumerate(model):
+            assert seen(again.snapshot(as_of=p * 1000 + 500)) == want == seen(again.snapshot(position=p))
+        assert [(c.position, sorted(rows(df.select("key", "value", "_op")))) for c, df in again.changes(0)] == before
+        for df, batch, commit in sent:
+            assert again.append(df, "client", batch) == commit
+            with pytest.raises(StoreError, match="conflict"):
+                again.append(df.withColumn("value", F.col("value") + 1), "client", batch)
+    q = "SELECT value FROM m FOR SYSTEM_TIME AS OF TIMESTAMP '1970-01-01 00:00:00.000002500Z'"
+    assert sorted(rows(e.sql(q))) == sorted((v,) for v in model[2].values())
+    df = sent[0][0]
     with pytest.raises(StoreError, match="duplicate"):
-        log.append(row(11), "c", "2")
+        log.append(df, "client", "other")
     with pytest.raises(StoreError, match="conflict"):
-        log.apply(row(5, "original"), 1900)
-    log.apply(row(20, "correction"), 2000)
-    log.apply(row(20, "tombstone"), 3000)
-    value = lambda at: [r.value for r in log.snapshot(as_of=at).collect()]
-    assert (value(500), value(1500), value(2500), value(None)) == ([], [10], [20], [])
-    q = "SELECT value FROM m FOR SYSTEM_TIME AS OF TIMESTAMP '1970-01-01 00:00:00.000002500Z'"
-    assert rows(e.sql(q)) == [(20,)]
-    assert log.compact_history(2, 2500) == 1
-    with pytest.raises(StoreError, match="not_found"):
-        log.snapshot(as_of=1500)
-    assert value(2500) == [20] and value(None) == []
+        log.apply(df.limit(1).withColumn("_op", F.lit("original")))
+
+
+def test_history_compaction(spark, tmp_path):
+    """Reads from the boundary on stay; earlier ones and changes across it are refused; a subscriber holds it back."""
+    _, log, model, _ = history(spark, tmp_path)
+    assert log.compact_history(0, 500) == 0
+    dropped = log.compact_history(4, 4500)
+    assert dropped > 0 and log.folded == 4
+    for p, want in list(enumerate(model))[4:]:
+        assert seen(log.snapshot(as_of=p * 1000 + 500)) == want
+    for refused in (lambda: log.snapshot(as_of=3500), lambda: log.snapshot(position=3), lambda: log.changes(3)):
+        with pytest.raises(StoreError, match="not_found"):
+            refused()
+    with pytest.raises(StoreError, match="invalid"):
+        log.compact_history(3, 4500)
+    assert [c.position for c, _ in log.changes(4)] == [5]
+    log.compact_files()
+    assert seen(log.snapshot()) == model[-1] and log.folded == 4
+
+    class Reader:
+        closed = None
+
+        def safe_position(self):
+            return 4
+
+    reader = Reader()
+    log.readers.add(reader)
+    log.compact_history(5, 5500)
+    assert log.folded == 4
+    del reader
+    log.compact_history(5, 5500)
+    assert log.folded == 5 and seen(log.snapshot()) == model[-1]
+
+
+def test_two_writers(spark, tmp_path):
+    """A position is published once; the other writer is told, and goes on after a refresh.  Schema versions are kept."""
+    _, log, model, _ = history(spark, tmp_path, commits=2)
+    other = type(log)(log.spark, f"file://{tmp_path}", log.spec)
+    row = lambda k: log.spark.createDataFrame([(1, 1, k)], "ts long, value long, key string")
+    log.append(row("a"), "one", "1")
+    with pytest.raises(StoreError, match="conflict"):
+        other.append(row("b"), "two", "1")
+    other.refresh()
+    other.append(row("b"), "two", "1")
+    log.refresh()
+    assert seen(log.snapshot()) == model[-1] | {"a": 1, "b": 1}
+    log.evolve(ColumnSpec("note", SqlType("STRING")))
+    again = type(log)(log.spark, f"file://{tmp_path}", other.spec)
+    assert again.spec == log.spec and again.spec.version == 2 and {r.note for r in again.snapshot().collect()} == {None}
+
+
+def test_bucket_pruning(eng):
+    """Time predicates choose the log's folders."""
+    plan = eng.sql(f"SELECT price FROM trades WHERE ts >= {ts(50)}")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_bucket" in plan and ">= 0)" in plan
 
 
 def test_explain(eng):
     text = eng.execute("EXPLAIN SELECT price AS v FROM trades WHERE price > 0.0 ORDER BY v LIMIT 2")
     assert "output.0=v,type:FLOAT64,nullable:1,aggregate:0" in text and "operator.3=sort" in text
     text = eng.execute("EXPLAIN ANALYZE SELECT symbol, count(*) AS n FROM trades WHERE price > 0.0 GROUP BY symbol")
-    assert "counter.source_rows=4" in text and "counter.rows_after_where=3" in text and "counter.groups=2" in text
+    up = [s for _, s, p in TRADES if p is not None and p > 0]
+    assert f"counter.source_rows={len(TRADES)}\n" in text and f"counter.rows_after_where={len(up)}\n" in text and f"counter.groups={len(set(up))}\ncounter.output_rows={len(set(up))}\n" in text
 
 
 def test_pushdown(spark):
@@ -144,43 +268,107 @@ def change(identity, t, value, weight=1.0, deleted=False):
     return {"grp": "g", "identity": identity, "deleted": deleted, "t": t, "order": t, "value": value, "weight": weight}
 
 
-def test_view_corrections():
-    v = View(ViewSpec(10, 10, 2))
-    assert [x["status"] for x in v.commit(1, [change("1", 1, 10.0, 1.0)])] == [PROVISIONAL]
-    (x,) = v.commit(2, [change("2", 2, 20.0, 2.0)])
-    assert (x["status"], x["total"], round(x["vwap"], 6), x["revision"]) == (CORRECTED, 30.0, round(50 / 3, 6), 2)
-    assert [y["status"] for y in v.advance(12)] == [FINALIZED]
-    (x,) = v.commit(3, [change("1", 1, 30.0)])
-    assert (x["status"], x["total"]) == (CORRECTED, 50.0)
-    v = View.restore(v.checkpoint())
-    assert [y["kind"] for y in v.commit(4, [change("1", 0, 0, deleted=True), change("2", 0, 0, deleted=True)])] == ["upsert", "delete"]
+def brute(rows, start, width):
+    """Figures of a window from its rows (event time, order, identity, value, weight)."""
+    mine = sorted(r for r in rows.values() if start <= r[0] < start + width)
+    v, n = [r[3] for r in mine], len(mine)
+    mean = sum(v) / n if n else None
+    m2 = sum((x - mean) ** 2 for x in v) if n else None
+    weight = sum(r[4] for r in mine)
+    return {"n": n} if not n else {"n": n, "total": sum(v), "least": min(v), "greatest": max(v), "open": v[0], "close": v[-1], "vwap": sum(r[3] * r[4] for r in mine) / weight if weight else None, "var_pop": m2 / n, "var_samp": m2 / (n - 1) if n > 1 else None}
+
+
+@pytest.mark.parametrize("width,slide", [(30, 30), (40, 10)])
+def test_view_against_brute_force(width, slide):
+    """Random upserts, moves between windows, tombstones, watermarks and restarts: every change holds the window's figures."""
+    rng, v, rows, last, mark = random.Random(width), View(ViewSpec(width, slide, 5)), {}, {}, None
+    for position in range(1, 400):
+        identity = f"r{rng.randrange(25)}"
+        gone = rng.random() < 0.25
+        t, value, weight = rng.randrange(-60, 120), rng.uniform(-1e3, 1e3) * 10.0 ** rng.randint(-8, 8), rng.choice([0.0, 0.5, 2.0])
+        old = rows.get(identity)
+        out = v.commit(position, [change(identity, t, value, weight, gone)])
+        rows.pop(identity, None)
+        if not gone:
+            rows[identity] = (t, t, identity, value, weight)
+        touched = {s for x in (old, rows.get(identity)) if x for s in v.spec.windows(x[0])}
+        assert [x["window_start"] for x in out] == sorted(touched)
+        for x in out:
+            want = brute(rows, x["window_start"], width)
+            assert {k: x[k] for k in want} == pytest.approx(want) and x["kind"] == ("upsert" if want["n"] else "delete")
+            assert x["revision"] == last.get(x["window_start"], 0) + 1
+            past = mark is not None and mark >= x["window_start"] + width + 5
+            assert x["status"] == (CORRECTED if x["window_start"] in last else FINALIZED if past else PROVISIONAL)
+            last[x["window_start"]] = x["revision"]
+        if position % 60 == 0:
+            mark = position // 4
+            for x in v.advance(mark):
+                assert x["status"] == FINALIZED and x["window_end"] + 5 <= mark
+                last[x["window_start"]] = x["revision"]
+            v = View.restore(v.checkpoint())
     with pytest.raises(ViewError, match="gap"):
-        v.commit(9, [])
+        v.commit(position + 2, [])
+    with pytest.raises(ViewError, match="invalid"):
+        v.advance(mark - 1)
 
 
-def test_view_sliding():
-    v = View(ViewSpec(10, 5))
-    assert [(x["window_start"], x["window_end"]) for x in v.commit(1, [change("1", 7, 1.0)])] == [(0, 10), (5, 15)]
-    assert [x["window_start"] for x in v.commit(2, [change("2", -1, 1.0)])] == [-10, -5]
+def test_view_bounds():
+    v = View(ViewSpec(10, 10, max_rows=2, max_windows=2))
+    v.commit(1, [change("x", 3, 1.0)])
+    v.commit(2, [change("y", 13, 1.0)])
+    for bad in (change("z", 4, 1.0), change("y", 25, 1.0)):
+        with pytest.raises(ViewError, match="resource_exhausted"):
+            v.commit(3, [bad])
+    v.commit(3, [change("x", 0, 0, deleted=True), change("z", 14, 1.0)])
 
 
 def test_subscription(eng):
-    sub = eng.execute("SUBSCRIBE SELECT symbol, price FROM trades WHERE price > 0.0")
-    kinds = [c.kind for c in sub.poll()]
-    assert kinds == ["snapshot", "ready"] and len(sub.poll()[0].rows) == 3
+    sub = eng.execute("SUBSCRIBE SELECT symbol, price FROM trades WHERE price > 2.0")
+    assert [c.kind for c in sub.poll()] == ["snapshot", "ready"]
+    assert sorted(sub.poll()[0].rows) == sorted((s, p) for _, s, p in TRADES if p is not None and p > 2)
     token = sub.ack(2)
-    eng.execute(f"INSERT INTO trades (ts, symbol, price) VALUES ({ts(30)}, 'A', 5.0)")
-    assert sub.pump() == 1 and sub.poll()[0].rows == [("A", 5.0)] and sub.pump() == 0
-    from tidemark.streaming.subscription import SubscriptionLog
-
-    again = SubscriptionLog(eng, sub.sql, b"tidemark", 10, token)
-    assert again.pump() == 1 and again.poll()[0].rows == [("A", 5.0)]
+    eng.execute(f"INSERT INTO trades (ts, symbol, price) VALUES ({ts(30)}, 'K', 5.0), ({ts(31)}, 'K', 1.0)")
+    assert sub.pump() == 1 and sub.poll()[0].rows == [("K", 5.0)] and sub.pump() == 0
+    again = SubscriptionLog(eng, sub.sql, eng.token_key, 10, token)
+    assert again.pump() == 1 and again.poll()[0].rows == [("K", 5.0)]
     with pytest.raises(SubscriptionError, match="bad_token"):
         SubscriptionLog(eng, sub.sql, b"other", 10, token)
     with pytest.raises(SubscriptionError, match="ineligible"):
         eng.execute("SUBSCRIBE SELECT count(*) AS n FROM trades")
 
 
+def test_subscription_to_corrections(eng):
+    """Tombstones and corrections that leave the filter are told as deletes; buffered changes hold back history compaction."""
+    sub = eng.execute("SUBSCRIBE SELECT symbol, price FROM trades WHERE price > 2.0")
+    sub.ack(sub.poll()[-1].sequence)
+    log, up = eng.logs["trades"], sorted(x for x in TRADES if x[2] is not None and x[2] > 2)[:4]
+    ops = list(zip(up, [("correction", 9.0), ("correction", 0.0), ("tombstone", 0.0), ("replacement", None)], strict=True))
+    given = [(t, s, p, op) for (t, s, _), (op, p) in ops]
+    log.apply(log.spark.createDataFrame(given, "ts long, symbol string, price double, _op string"))
+    assert sub.pump() == 1
+    put, gone = sub.poll()
+    assert (put.kind, gone.kind) == ("upsert", "delete") and put.rows == [(up[0][1], 9.0)]
+    assert sorted(gone.rows) == sorted((s, t) for t, s, _ in up[1:])
+    log.compact_history(2, log.commits[-1].time_ns)
+    assert log.folded <= 1
+    sub.ack(gone.sequence)
+    log.compact_history(2, log.commits[-1].time_ns)
+    assert log.folded == 2 and sub.pump() == 0
+    behind = SubscriptionLog(eng, sub.sql, eng.token_key, 1)
+    with pytest.raises(SubscriptionError, match="overflow"):
+        behind.poll()
+
+
+def test_commit_order(eng):
+    """One admission order over several tables, kept in files."""
+    order = CommitOrder(eng.logs, eng.logs["trades"])
+    assert [(n, name) for n, name, _ in order.admit()] == [(1, "trades"), (2, "quotes")]
+    insert(eng, "trades", [(9, "K", 1.0)], "price")
+    assert order.admit() == [(3, "trades", 2)]
+    again = CommitOrder(eng.logs, eng.logs["trades"])
+    assert again.order == order.order and again.admit() == []
+
+
 def test_entry_queries_have_sql():
     import __spark_entry__ as e
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,7 @@ class Engine:
         self.external: dict[str, tuple[TableSpec, Callable[[], DataFrame], dict[str, str]]] = {}
         self.logs: dict[str, VersionLog] = {}
         self.generation = 0
+        self.token_key = secrets.token_bytes(32)
         self._batch = 0
 
     # catalog
@@ -32,7 +34,7 @@ class Engine:
     def read(self, name: str, as_of: int | None = None) -> Table | None:
         if name in self.logs:
             log = self.logs[name]
-            return Table(log.spec, log.snapshot(as_of))
+            return Table(log.spec, log.snapshot(as_of, hidden=True))
         if name in self.external:
             if as_of is not None:
                 raise S.SqlError("unsupported", f"{name} keeps no system time")
@@ -130,5 +132,6 @@ class Engine:
         self._batch += 1
         return log.append(df, "sql", f"{id(self)}-{self._batch}")
 
-    def subscribe(self, sql: str, key: bytes = b"tidemark", capacity: int = 1024) -> SubscriptionLog:
-        return SubscriptionLog(self, sql, key, capacity)
+    def subscribe(self, sql: str, key: bytes | None = None, capacity: int = 1024) -> SubscriptionLog:
+        """key signs resume tokens; without one they hold for this engine only."""
+        return SubscriptionLog(self, sql, key or self.token_key, capacity)

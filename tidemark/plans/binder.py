@@ -38,6 +38,7 @@ class Typed:
     aggregate: bool = False
     literal: object = None
     micros: Column | None = None
+    bucket: tuple[Column, int] | None = None  # the time bucket of the row's file and its width, for the event time of a stored table
     risky: bool = False  # may raise
 
 
@@ -80,9 +81,11 @@ class Bound:
         lines += [f"operator.{i}={x}" for i, x in enumerate(stages)]
         if analyze:
             seen: dict[str, Observation] = {}
-            rows = self.make(seen).collect()
-            counts = {k: o.get[k] for k, o in seen.items()}
-            lines += [f"counter.{k}={counts.get(k, 0)}" for k in ("source_rows", "rows_after_latest", "rows_after_asof", "rows_after_where", "groups")] + [f"counter.output_rows={len(rows)}"]
+            whole = Observation()
+            self.make(seen).observe(whole, F.count(F.lit(1)).alias("output_rows")).write.format("noop").mode("overwrite").save()
+            counts = {k: o.get[k] for k, o in seen.items()} | whole.get
+            names = ("source_rows", "rows_after_latest", "rows_after_asof", "rows_after_where", "groups", "output_rows")
+            lines += [f"counter.{k}={counts.get(k, 0)}" for k in names]
         return "\n".join(lines) + "\n"
 
 
@@ -117,7 +120,8 @@ class Binder:
         i, c = found[0]
         alias, t, extended = self.sources[i]
         q = lambda n: F.col(f"`{self.internal(i, n)}`")
-        return Typed(q(name), c.type, c.nullable or extended, micros=q(t.micros[name]) if name in t.micros else None)
+        bucket = (q("_bucket"), t.spec.bucket_ns) if name == t.spec.event_time and "_bucket" in t.df.columns else None
+        return Typed(q(name), c.type, c.nullable or extended, micros=q(t.micros[name]) if name in t.micros else None, bucket=bucket)
 
     # expressions
 
@@ -228,7 +232,13 @@ class Binder:
                 at = F.lit(datetime.datetime(1970, 1, 1) + datetime.timedelta(microseconds=us)) if abs(us) < 6e16 else None
                 op = {"<": "<=", ">=": ">"}.get(op, op) if rest else op
                 return {"=": col == at, "<>": col != at, "<": col < at, "<=": col <= at, ">": col > at, ">=": col >= at}[op]
-        return X.compare(op, x.col, y.col, t)
+        out = X.compare(op, x.col, y.col, t)
+        if x.bucket is not None and isinstance(y.literal, int):
+            # implied by the comparison, and prunes the folders of the log
+            col, n = x.bucket[0], y.literal // x.bucket[1]
+            implied = {"=": col == n, "<": col <= n, "<=": col <= n, ">": col >= n, ">=": col >= n}.get(op)
+            out = out if implied is None else out & implied
+        return out
 
     def _binary(self, e):
         op = e.value

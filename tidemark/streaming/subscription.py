@@ -6,6 +6,7 @@ import hashlib
 import hmac
 import json
 from collections import deque
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -24,11 +25,23 @@ class SubscriptionError(Exception):
 
 @dataclass(frozen=True)
 class Change:
+    """kind: snapshot, upsert, delete or ready.  `data` is a plan over immutable files, run when it is read: a buffered
+    change holds no rows.  A delete's rows are the identities that are no longer in the result."""
+
     sequence: int
     position: int
-    kind: str  # snapshot, upsert or ready
+    kind: str
     key: str
-    rows: list
+    data: DataFrame | None
+
+    @property
+    def rows(self) -> list[tuple]:
+        """All rows on the driver, for small changes."""
+        return list(self.pages())
+
+    def pages(self) -> Iterator[tuple]:
+        """The rows, a partition at a time on the driver."""
+        return (tuple(r) for r in self.data.toLocalIterator()) if self.data is not None else iter(())
 
 
 def token(key: bytes, plan: str, version: int, position: int, sequence: int) -> str:
@@ -47,8 +60,9 @@ def read_token(key: bytes, text: str) -> tuple[str, int, int, int]:
 class SubscriptionLog:
     """One subscription.
 
-    Opening it fixes boundary C and runs the query over the snapshot at C; commits past C are evaluated one by one, each giving
-    one upsert keyed by plan, table and position.  pump() takes in new commits; when the buffer is full the subscriber is cut
+    Opening it fixes boundary C and offers the query over the snapshot at C; commits past C are evaluated one by one.  Each gives an
+    upsert keyed by plan, table and position, and, if it holds corrections or tombstones, a delete of the identities that it
+    takes out of the result.  pump() takes in new commits; when the buffer is full the subscriber is cut
     off and the commits stand.  poll() hands out at least once, ack() up to what was polled.  Only row-preserving plans over one
     current source qualify: no system time, LATEST BY, ASOF, aggregate, ORDER BY or LIMIT."""
 
@@ -67,10 +81,11 @@ class SubscriptionLog:
         self.buffer: deque[Change] = deque()
         self.polled = self.acked = self.sequence = 0
         self.closed: SubscriptionError | None = None
+        self.position = 0
         if resume is None:
             self.position = self.table.boundary(None)
-            self._offer("snapshot", self.position, [tuple(r) for r in self.snapshot().collect()])
-            self._offer("ready", self.position, [])
+            self._offer("snapshot", self.position, self.snapshot())
+            self._offer("ready", self.position, None)
         else:
             plan, version, position, sequence = read_token(key, resume)
             if plan != self.plan:
@@ -79,12 +94,13 @@ class SubscriptionLog:
                 raise SubscriptionError("wrong_schema", "the table's schema has changed")
             if position > self.table.boundary(None):
                 raise SubscriptionError("ahead", "the token is ahead of the table")
-            if position < self.table.retained:
+            if position < self.table.folded:
                 raise SubscriptionError("expired", "commits past the token are gone")
             self.position, self.sequence, self.polled, self.acked = position, sequence, sequence, sequence
+        self.table.readers.add(self)
 
-    def _run(self, df: DataFrame) -> DataFrame:
-        """The query over given rows of its table."""
+    def _run(self, df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+        """The query over given rows of its table; its predicate alone, with the given columns, if they are named."""
 
         class One:
             def read(inner, name, as_of=None):
@@ -94,19 +110,22 @@ class SubscriptionLog:
 
         from tidemark.plans.binder import bind
 
-        return bind(One(), S.parse(self.sql)).dataframe()
+        s = S.parse(self.sql)
+        if columns is not None:
+            s.items = [(S.Expr("column", (c,)), None) for c in columns]
+        return bind(One(), s).dataframe()
 
     def snapshot(self) -> DataFrame:
         """The result at the boundary, as a DataFrame."""
         return self._run(self.table.snapshot(position=self.position))
 
-    def _offer(self, kind: str, position: int, rows: list) -> None:
+    def _offer(self, kind: str, position: int, data: DataFrame | None) -> None:
         if len(self.buffer) >= self.capacity:
             self.closed = SubscriptionError("overflow", "the subscriber fell behind")
             self.buffer.clear()
             return
         self.sequence += 1
-        self.buffer.append(Change(self.sequence, position, kind, f"{self.plan[:16]}:{self.table.spec.name}:{position}:{self.sequence}", rows))
+        self.buffer.append(Change(self.sequence, position, kind, f"{self.plan[:16]}:{self.table.spec.name}:{position}:{self.sequence}", data))
 
     def pump(self) -> int:
         """Takes in commits past the position; how many."""
@@ -116,16 +135,26 @@ class SubscriptionLog:
         if self.table.spec.version != self.version:
             self.closed = SubscriptionError("schema_changed", "the table's schema has changed")
             return 0
+        if self.position < self.table.folded:
+            self.closed = SubscriptionError("expired", "commits past the position are gone")
+            return 0
         for c, rows in self.table.changes(self.position):
-            if c.position != self.position + 1:
-                self.closed = SubscriptionError("expired", "a commit is missing")
-                break
-            self._offer("upsert", c.position, [tuple(r) for r in self._run(rows.where(F.col("_op") != "tombstone")).collect()])
+            self._offer("upsert", c.position, self._run(rows.where(F.col("_op") != "tombstone")))
+            if c.corrected and not self.closed:
+                self._offer("delete", c.position, self._gone(rows))
             if self.closed:
                 break
             self.position, n = c.position, n + 1
         return n
 
+    def _gone(self, rows: DataFrame) -> DataFrame:
+        """Identities of the commit's tombstones, and of those of its versions that fail the query's predicate."""
+        key = self.table.identity()
+        inside = self._run(rows, key).distinct()
+        versions = rows.where(F.col("_op") != "original")
+        stays = versions.where(F.col("_op") != "tombstone").join(inside, key, "left_semi")
+        return versions.select(*key).join(stays.select(*key), key, "left_anti")
+
     def poll(self, most: int = 100) -> list[Change]:
         if self.closed:
             raise self.closed
@@ -156,21 +185,30 @@ class SubscriptionLog:
 
 
 class CommitOrder:
-    """One recorded admission order over the commits of several tables."""
+    """One recorded admission order over the commits of several tables; with a VersionLog's file helpers in `store`, it is kept in numbered files."""
+
+    def __init__(self, tables: dict, store=None):
+        self.tables, self.store, self.order, self.at = tables, store, [], dict.fromkeys(tables, 0)
+        for n in store._numbers("order") if store else ():
+            self._take([tuple(x) for x in store._entry("order", n)["admitted"]])
 
-    def __init__(self, tables: dict):
-        self.tables, self.order, self.at = tables, [], dict.fromkeys(tables, 0)
+    def _take(self, admitted: list[tuple[int, str, int]]) -> None:
+        for _, name, position in admitted:
+            self.at[name] = position
+        self.order += admitted
 
     def admit(self) -> list[tuple[int, str, int]]:
         """New commits as (global sequence, table, position), by system time and name; the order is kept for ever."""
         new = sorted((c.time_ns, name, c.position) for name, t in self.tables.items() for c in t.commits if c.position > self.at[name])
-        out = []
+        at, out = dict(self.at), []
         for _, name, position in new:
-            if position != self.at[name] + 1:
+            if position != at[name] + 1:
                 raise SubscriptionError("expired", f"{name} misses a commit")
-            self.at[name] = position
-            out.append((len(self.order) + 1, name, position))
-            self.order.append(out[-1])
+            at[name] = position
+            out.append((len(self.order) + len(out) + 1, name, position))
+        if out and self.store:
+            self.store._publish("order", out[0][0], {"admitted": out})
+        self._take(out)
         return out
 
 

@@ -43,63 +43,124 @@ class ViewSpec:
         return range(last - self.width + self.slide, last + 1, self.slide)
 
 
-def figures(rows: list[tuple]) -> dict:
-    """Aggregates of (event time, order, identity, value, weight)."""
-    rows = sorted(rows)
-    v, w, n = [r[3] for r in rows], [r[4] for r in rows], len(rows)
-    if not n:
-        return dict.fromkeys(("total", "least", "greatest", "vwap", "open", "high", "low", "close", "var_pop", "var_samp")) | {"n": 0}
-    mean = math.fsum(v) / n
-    m2 = math.fsum((x - mean) ** 2 for x in v)
-    weight = math.fsum(w)
-    return {
-        "n": n, "total": math.fsum(v), "least": min(v), "greatest": max(v), "vwap": math.fsum(x * y for x, y in zip(v, w, strict=True)) / weight if weight else None,
-        "open": v[0], "high": max(v), "low": min(v), "close": v[-1], "var_pop": m2 / n, "var_samp": m2 / (n - 1) if n > 1 else None,
-    }
+#: Every finite double is a whole number of 2**-SCALE.
+SCALE = 1074
+
+
+def _exact(x: float) -> int:
+    n, d = float(x).as_integer_ratio()
+    return n << (SCALE - d.bit_length() + 1)
+
+
+class Window:
+    """What is kept of one window: exact sums, from which rows can be taken away again, and the extremes.
+
+    Sums are whole numbers of 2**-SCALE (products: of its square), so adding and removing in any order gives the same figures.
+    Taking an extreme away makes the extremes stale; they are then looked up among the window's rows."""
+
+    __slots__ = ("emitted", "final", "first", "greatest", "last", "least", "n", "products", "revision", "squares", "stale", "total", "weight")
+
+    def __init__(self):
+        self.revision = self.n = self.total = self.weight = self.products = self.squares = 0
+        self.emitted = self.final = self.stale = False
+        self.least = self.greatest = self.first = self.last = None
+
+    def count(self, row: tuple, sign: int) -> None:
+        value, weight = _exact(row[3]), _exact(row[4])
+        self.n += sign
+        self.total += sign * value
+        self.weight += sign * weight
+        self.products += sign * value * weight
+        self.squares += sign * value * value
+
+    def add(self, row: tuple) -> None:
+        """row: (event time, order, identity, value, weight)."""
+        self.count(row, 1)
+        if not self.stale:
+            self.least, self.greatest = (row[3] if m is None else f(m, row[3]) for m, f in ((self.least, min), (self.greatest, max)))
+            self.first, self.last = (row[:4] if m is None else f(m, row[:4]) for m, f in ((self.first, min), (self.last, max)))
+
+    def remove(self, row: tuple) -> None:
+        self.count(row, -1)
+        if row[3] in (self.least, self.greatest) or row[:4] in (self.first, self.last):
+            self.stale = True
+
+    def renew(self, rows: Iterator[tuple]) -> None:
+        """Extremes from the window's rows."""
+        self.least = self.greatest = self.first = self.last = None
+        self.stale = False
+        for r in rows:
+            self.least, self.greatest = (r[3] if m is None else f(m, r[3]) for m, f in ((self.least, min), (self.greatest, max)))
+            self.first, self.last = (r[:4] if m is None else f(m, r[:4]) for m, f in ((self.first, min), (self.last, max)))
+
+    def figures(self) -> dict:
+        n = self.n
+        if not n:
+            return dict.fromkeys(("total", "least", "greatest", "vwap", "open", "high", "low", "close", "var_pop", "var_samp")) | {"n": 0}
+        spread = n * self.squares - self.total * self.total  # n squared times the variance
+        return {
+            "n": n, "total": self.total / (1 << SCALE), "least": self.least, "greatest": self.greatest, "vwap": self.products / (self.weight << SCALE) if self.weight else None,
+            "open": self.first[3], "high": self.greatest, "low": self.least, "close": self.last[3], "var_pop": spread / (n * n << 2 * SCALE), "var_samp": spread / (n * (n - 1) << 2 * SCALE) if n > 1 else None,
+        }
 
 
 class GroupView:
     """State of one group over two mappings: identity -> (event time, order, identity, value, weight), and window start ->
-    [revision, emitted, finalized, members].  The mappings may be dicts or state-store maps."""
+    Window.  The mappings may be dicts or state-store maps; sizes are counted in `sizes` (rows, windows)."""
 
-    def __init__(self, spec: ViewSpec, rows: MutableMapping, windows: MutableMapping, watermark: int | None = None):
-        self.spec, self.rows, self.windows, self.watermark = spec, rows, windows, watermark
+    def __init__(self, spec: ViewSpec, rows: MutableMapping, windows: MutableMapping, watermark: int | None = None, position: int = 0, sizes: tuple[int, int] | None = None):
+        self.spec, self.rows, self.windows, self.watermark, self.position = spec, rows, windows, watermark, position
+        self.n_rows, self.n_windows = sizes if sizes is not None else (len(rows), len(windows))
 
-    def _emit(self, start: int, position: int) -> dict:
-        w = self.windows[start]
-        past = self.watermark is not None and self.watermark >= start + self.spec.width + self.spec.lateness
-        status = CORRECTED if w[1] else FINALIZED if past else PROVISIONAL
-        f = figures(list(w[3].values()))
-        self.windows[start] = [w[0] + 1, True, w[2] or past, w[3]]
-        return {"window_start": start, "window_end": start + self.spec.width, "revision": w[0] + 1, "kind": "upsert" if f["n"] else "delete", "status": status, "position": position} | f
+    def _past(self, start: int) -> bool:
+        return self.watermark is not None and self.watermark >= start + self.spec.width + self.spec.lateness
+
+    def _row(self, start: int, w: Window, status: str, position: int) -> dict:
+        if w.stale:
+            w.renew(r for r in self.rows.values() if start <= r[0] < start + self.spec.width)
+        w.revision, w.emitted = w.revision + 1, True
+        self.windows[start] = w
+        return {"window_start": start, "window_end": start + self.spec.width, "revision": w.revision, "kind": "upsert" if w.n else "delete", "status": status, "position": position} | w.figures()
 
     def apply(self, position: int, identity: str, deleted: bool, t: int | None, order: int | None, value: float | None, weight: float | None) -> list[dict]:
-        """One row change; the changes of the windows it touches, by start.  A late row is taken as a correction, never dropped."""
-        old = self.rows.get(identity)
-        if deleted:
-            if old is None:
-                return []
-            touched = set(self.spec.windows(old[0]))
-        else:
+        """One row change; the changes of the windows it touches, by start.  A late row is taken as a correction, never dropped.
+        Positions never go back."""
+        if position < self.position:
+            raise ViewError("gap", f"position {position} after {self.position}")
+        old, new = self.rows.get(identity), None
+        if not deleted:
             if not (math.isfinite(value) and math.isfinite(weight)):
                 raise ViewError("invalid", "values and weights are finite")
-            touched = set(self.spec.windows(t)) | (set(self.spec.windows(old[0])) if old else set())
-            if old is None and len(self.rows) >= self.spec.max_rows:
-                raise ViewError("resource_exhausted", "too many rows")
-            if sum(s not in self.windows for s in touched) + len(self.windows) > self.spec.max_windows:
-                raise ViewError("resource_exhausted", "too many windows")
-        for s in touched:
-            w = self.windows[s] if s in self.windows else [0, False, False, {}]
-            members = dict(w[3])
-            members.pop(identity, None)
-            if not deleted and s <= t < s + self.spec.width:
-                members[identity] = (t, order, identity, value, weight)
-            self.windows[s] = [*w[:3], members]
+            new = (t, order, identity, value, weight)
+        elif old is None:
+            self.position = position
+            return []
+        starts = {s for r in (old, new) if r for s in self.spec.windows(r[0])}
+        touched = {s: self.windows.get(s) for s in starts}
+        fresh = sum(w is None for w in touched.values())
+        if old is None and self.n_rows >= self.spec.max_rows:
+            raise ViewError("resource_exhausted", "too many rows")
+        if fresh + self.n_windows > self.spec.max_windows:
+            raise ViewError("resource_exhausted", "too many windows")
+        self.position = position
+        self.n_windows += fresh
+        self.n_rows += (old is None) - deleted
+        touched = {s: w or Window() for s, w in touched.items()}
+        for s, w in touched.items():
+            if old and s <= old[0] < s + self.spec.width:
+                w.remove(old)
+            if new and s <= new[0] < s + self.spec.width:
+                w.add(new)
         if deleted:
             del self.rows[identity]
         else:
-            self.rows[identity] = (t, order, identity, value, weight)
-        return [self._emit(s, position) for s in sorted(touched)]
+            self.rows[identity] = new
+        out = []
+        for s, w in sorted(touched.items()):
+            status = CORRECTED if w.emitted else FINALIZED if self._past(s) else PROVISIONAL
+            w.final = w.final or self._past(s)
+            out.append(self._row(s, w, status, position))
+        return out
 
     def advance(self, position: int, watermark: int) -> list[dict]:
         """A watermark: windows that end, with the lateness, at or before it are final.  Empty ones go final in silence."""
@@ -107,15 +168,13 @@ class GroupView:
             raise ViewError("invalid", "a watermark can't go back")
         self.watermark = watermark
         out = []
-        for s in sorted(self.windows):
-            w = self.windows[s]
-            if not w[2] and watermark >= s + self.spec.width + self.spec.lateness:
-                if w[3]:
-                    f = figures(list(w[3].values()))
-                    out.append({"window_start": s, "window_end": s + self.spec.width, "revision": w[0] + 1, "kind": "upsert", "status": FINALIZED, "position": position} | f)
-                    self.windows[s] = [w[0] + 1, True, True, w[3]]
+        for s, w in sorted(self.windows.items()):
+            if not w.final and self._past(s):
+                w.final = True
+                if w.n:
+                    out.append(self._row(s, w, FINALIZED, position))
                 else:
-                    self.windows[s] = [w[0], w[1], True, w[3]]
+                    self.windows[s] = w
         return out
 
 
@@ -156,36 +215,55 @@ class View:
         v = View(spec)
         v.position, v.watermark = position, watermark
         for k, (rows, windows, w) in groups.items():
-            for s, x in windows.items():  # members must be the rows of the window
-                if {i for i, r in rows.items() if s <= r[0] < s + spec.width} != set(x[3]):
+            for s, x in windows.items():  # sums must be those of the window's rows
+                own = Window()
+                for r in rows.values():
+                    if s <= r[0] < s + spec.width:
+                        own.count(r, 1)
+                if (own.n, own.total, own.weight, own.products, own.squares) != (x.n, x.total, x.weight, x.products, x.squares):
                     raise ViewError("invalid", "the checkpoint contradicts itself")
-            v.groups[k] = GroupView(spec, rows, windows, w)
+            v.groups[k] = GroupView(spec, rows, windows, w, position)
         return v
 
 
 class _Map(MutableMapping):
-    """A state-store map of pickled values."""
+    """A state-store map of pickled values; what a batch touches is read once, and written by flush()."""
 
     def __init__(self, state):
-        self.state = state
+        self.state, self.held, self.dirty, self.whole = state, {}, set(), False
 
     def __getitem__(self, k):
-        v = self.state.getValue((k,)) if self.state.containsKey((k,)) else None
-        if v is None:
+        if k not in self.held:
+            v = None if self.whole or not self.state.containsKey((k,)) else self.state.getValue((k,))
+            self.held[k] = None if v is None else pickle.loads(v[0])
+        if self.held[k] is None:
             raise KeyError(k)
-        return pickle.loads(v[0])
+        return self.held[k]
 
     def __setitem__(self, k, v):
-        self.state.updateValue((k,), (pickle.dumps(v),))
+        self.held[k] = v
+        self.dirty.add(k)
 
     def __delitem__(self, k):
-        self.state.removeKey((k,))
+        self[k] = None
 
     def __iter__(self):
-        return iter([k[0] for k in self.state.keys()])
+        if not self.whole:
+            for (k,), (v,) in self.state.iterator():
+                self.held.setdefault(k, pickle.loads(v))
+            self.whole = True
+        return iter([k for k, v in self.held.items() if v is not None])
 
     def __len__(self):
-        return sum(1 for _ in self.state.keys())
+        return sum(1 for _ in self)
+
+    def flush(self) -> None:
+        for k in self.dirty:
+            v = self.held[k]
+            if v is not None:
+                self.state.updateValue((k,), (pickle.dumps(v),))
+            elif self.state.containsKey((k,)):
+                self.state.removeKey((k,))
 
 
 class ViewProcessor(StatefulProcessor):
@@ -198,18 +276,20 @@ class ViewProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.rows = handle.getMapState("rows", "identity string", "v binary")
         self.windows = handle.getMapState("windows", "start long", "v binary")
-        self.mark = handle.getValueState("mark", "v long")
+        self.mark = handle.getValueState("mark", "watermark long, position long, n_rows long, n_windows long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        mark = self.mark.get()
-        g = GroupView(self.spec, _Map(self.rows), _Map(self.windows), None if mark is None else mark[0])
-        out = []
+        mark, position, *sizes = self.mark.get() if self.mark.exists() else (None, 0, 0, 0)
+        kept, windows = _Map(self.rows), _Map(self.windows)
+        g, out = GroupView(self.spec, kept, windows, mark, position, tuple(sizes)), []
         for r in pd.concat(list(rows)).sort_values(["position", "ord"], kind="stable").itertuples():
             if r.kind == "watermark":
                 out += g.advance(r.position, int(r.t))
-                self.mark.update((int(r.t),))
             else:
                 out += g.apply(r.position, r.identity, r.kind == "delete", None if pd.isna(r.t) else int(r.t), None if pd.isna(r.ord) else int(r.ord), r.value, r.weight)
+        kept.flush()
+        windows.flush()
+        self.mark.update((g.watermark, g.position, g.n_rows, g.n_windows))
         names = [x.strip().split(" ")[0] for x in CHANGE.split(",")]
         yield pd.DataFrame([{"grp": key[0]} | x for x in out], columns=names)
 
@@ -226,14 +306,29 @@ def stream_view(changes: DataFrame, spec: ViewSpec) -> DataFrame:
 def batch_view(rows: DataFrame, spec: ViewSpec) -> DataFrame:
     """(grp, window_start, aggregates) of visible rows (grp, identity, t, ord, value, weight): what a view's last upserts come to.
 
-    Windows are made by explode, width / slide rows for each; all else is one grouped aggregation."""
-    last = F.col("t") - F.pmod("t", F.lit(spec.slide))
-    starts = F.transform(F.sequence(F.lit(0), F.lit(spec.width // spec.slide - 1)), lambda i: last - i * F.lit(spec.slide))
-    w = rows.withColumn("window_start", F.explode(starts))
-    at = F.struct("t", "ord", "identity")
-    weight = F.sum("weight")
-    return w.groupBy("grp", "window_start").agg(
-        F.count("*").alias("n"), F.sum("value").alias("total"), F.min("value").alias("least"), F.max("value").alias("greatest"),
-        F.when(weight != 0, F.sum(F.col("value") * F.col("weight")) / weight).alias("vwap"), F.min_by("value", at).alias("open"), F.max_by("value", at).alias("close"),
-        F.var_pop("value").alias("var_pop"), F.when(F.count("*") > 1, F.var_samp("value")).alias("var_samp"),
+    Rows are summed by slide first; a window adds its width / slide sums, so only those are repeated and shuffled again."""
+    pieces = spec.width // spec.slide
+    at, value, weight = F.struct("t", "ord", "identity"), F.col("value"), F.col("weight")
+    one = rows.withColumn("slot", F.col("t") - F.pmod("t", F.lit(spec.slide))).groupBy("grp", "slot").agg(
+        F.count("*").alias("n"), F.count("value").alias("k"), F.sum("value").alias("total"), F.avg("value").alias("mean"), F.var_pop("value").alias("var"),
+        F.min("value").alias("least"), F.max("value").alias("greatest"), F.sum("weight").alias("weight"), F.sum(value * weight).alias("products"),
+        F.min(at).alias("first"), F.max(at).alias("last"), F.min_by("value", at).alias("open"), F.max_by("value", at).alias("close"),
+    )
+    if pieces == 1:
+        w = one.withColumnRenamed("slot", "window_start")
+        var_samp = F.when(F.col("n") > 1, F.col("var") * F.col("k") / (F.col("k") - 1))
+        vwap = F.when(F.col("weight") != 0, F.col("products") / F.col("weight"))
+        return w.select("grp", "window_start", "n", "total", "least", "greatest", vwap.alias("vwap"), "open", "close", F.col("var").alias("var_pop"), var_samp.alias("var_samp"))
+    starts = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.col("slot") - i * F.lit(spec.slide))
+    w = one.withColumn("window_start", F.explode(starts))
+    k, mean = F.sum("k"), F.sum(F.col("k") * F.col("mean")) / F.sum("k")
+    # squared distances inside the slides and between their means
+    inner = F.sum(F.col("k") * F.col("var"))
+    out = w.groupBy("grp", "window_start").agg(
+        F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("least").alias("least"), F.max("greatest").alias("greatest"),
+        F.when(F.sum("weight") != 0, F.sum("products") / F.sum("weight")).alias("vwap"), F.min_by("open", "first").alias("open"), F.max_by("close", "last").alias("close"),
+        k.alias("k"), mean.alias("mean"), inner.alias("inner"), F.collect_list(F.struct("k", "mean")).alias("parts"),
     )
+    between = F.aggregate("parts", F.lit(0.0), lambda s, p: s + F.coalesce(p["k"] * (p["mean"] - F.col("mean")) * (p["mean"] - F.col("mean")), F.lit(0.0)))
+    m2 = F.col("inner") + between
+    return out.select("grp", "window_start", "n", "total", "least", "greatest", "vwap", "open", "close", (m2 / F.col("k")).alias("var_pop"), F.when(F.col("n") > 1, m2 / (F.col("k") - 1)).alias("var_samp"))
