@@ -198,7 +198,7 @@ def near_links(docs: DataFrame) -> DataFrame:
     """(a, b): hashes of texts with a Jaccard similarity of 4/5 or more; enough of them to connect every such pair of candidates.
 
     SimHash has no say here: at 4/5 about ten of 64 bits differ, more than segments with a wildcard can find.  Members of each
-    bucket are verified against one of them first, so that a group of near copies costs a row per member; then every pair
+    bucket are verified against its leader first, so that copies of one text cost a row per member; then every pair
     of a bucket that is not yet connected is verified, none left out.  Blank texts count as one shingle.
     """
 
@@ -208,8 +208,12 @@ def near_links(docs: DataFrame) -> DataFrame:
 
     texts = docs.select(F.xxhash64(body()).alias("node"), body().alias("t"))
     rows = saved(sets(texts).select("node", F.size("s").alias("n"), "s").mapInArrow(_bands, "key long, band int, node long, n int").distinct())
-    lead = rows.groupBy("key").agg(F.min_by("node", F.xxhash64(F.col("band") % 4, "node")).alias("lead"), F.count("*").alias("m")).where("m > 1").drop("m")
-    met = saved(rows.join(lead, "key").drop("band"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    met = saved(rows.join(sizes, "key").drop("band"))
+    # the text that shares most buckets with others leads: of a group of near copies that is what they were copied from
+    weight = met.groupBy("node").agg(F.sum("m").alias("w"))
+    lead = met.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("w", "node")).alias("lead"))
+    met = saved(met.drop("m").join(lead, "key"))
     known = saved(sets(texts.join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])))
 
     def verified(pairs: DataFrame) -> DataFrame:
