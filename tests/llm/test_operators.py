@@ -137,6 +137,35 @@ def test_keep_first_near_copies(spark):
     assert {r["doc_id"] for r in simhash.keep_first(docs(spark, texts)).collect()} == set(want.values())
 
 
+def test_near_links_in_groups_of_variants(spark, monkeypatch):
+    """Variants of one text, most of them less than 0.8 alike, and copies of some variants: components by brute force, and few pairs compared."""
+    rng = random.Random(33)
+    base, texts = prose(rng, 150).split(" "), []
+    for k in range(120):
+        v = [w for w in base if rng.random() > 0.02]
+        for _ in range(rng.randint(0, 12)):
+            v[rng.randrange(len(v))] = f"e{k}" + prose(rng, 1)
+        texts.append(" ".join(v if k % 3 else v[: rng.randint(100, len(v))]))
+    for k in range(20):
+        v = texts[rng.randrange(120)].split(" ")
+        v[rng.randrange(len(v))] = f"f{k}"
+        texts.append(" ".join(v))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (WORD.findall(t.lower()) for t in texts)]
+    alike = lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+    want = closed(len(texts), alike, list(range(len(texts))))
+    counts, plain = [], simhash._unconnected
+
+    def counted(delta):
+        out = plain(delta)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "_unconnected", counted)
+    assert {r["doc_id"] for r in simhash.keep_first(docs(spark, texts)).collect()} == set(want.values())
+    assert 20 < len(set(want.values())) < 120
+    assert counts[0] < 140 * 139 / 2 / 4
+
+
 def test_simhash_large_bucket(spark):
     """Far more fingerprints in a bucket than are compared pair by pair, and all around 0."""
     rng = random.Random(5)

@@ -198,8 +198,8 @@ def near_links(docs: DataFrame) -> DataFrame:
     """(a, b): hashes of texts with a Jaccard similarity of 4/5 or more; enough of them to connect every such pair of candidates.
 
     SimHash has no say here: at 4/5 about ten of 64 bits differ, more than segments with a wildcard can find.  Members of each
-    bucket are verified against its leader first, so that copies of one text cost a row per member; then every pair
-    of a bucket that is not yet connected is verified, none left out.  Blank texts count as one shingle.
+    bucket are verified against its leader first, so that copies of one text cost a row per member; then _unconnected() gives
+    the pairs of members that may still be alike, and these are verified.  Blank texts count as one shingle.
     """
 
     def sets(d: DataFrame) -> DataFrame:
@@ -209,30 +209,64 @@ def near_links(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.xxhash64(body()).alias("node"), body().alias("t"))
     rows = saved(sets(texts).select("node", F.size("s").alias("n"), "s").mapInArrow(_bands, "key long, band int, node long, n int").distinct())
     sizes = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    met = saved(rows.join(sizes, "key").drop("band"))
+    met = saved(rows.join(sizes, "key").select("key", "node", "m"))
     # the text that shares most buckets with others leads: of a group of near copies that is what they were copied from
     weight = met.groupBy("node").agg(F.sum("m").alias("w"))
     lead = met.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("w", "node")).alias("lead"))
-    met = saved(met.drop("m").join(lead, "key"))
+    led = saved(met.join(lead, "key").where("node <> lead").select("lead", "node").distinct())
     known = saved(sets(texts.join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])))
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def with_sets(pairs: DataFrame) -> DataFrame:
         a, b = (known.select(F.col("node").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
-        both = F.size(F.array_intersect("sa", "sb"))
-        return saved(pairs.join(a, "a").join(b, "b").where(9 * both >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b"))
-
-    first = saved(met.where("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct())
-    found = verified(first)
-    m = met.join(components(found), "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
-    m = saved(m.join(m.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"), "key", "left_semi"))
-    l, r = (m.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "c")]) for x in "ab")  # noqa: E741
-    close = (F.col("node_a") < F.col("node_b")) & (F.col("c_a") != F.col("c_b")) & (5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b"))
-    rest = l.join(r, "key").where(close).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    out = found.union(verified(rest))
+        return pairs.join(a, "a").join(b, "b")
+
+    pairs = with_sets(led.select(F.col("lead").alias("a"), F.col("node").alias("b")))
+    differ = F.concat(F.array_except("sb", "sa"), F.array_except("sa", "sb")).alias("delta")
+    delta = saved(pairs.select(F.col("a").alias("lead"), F.col("b").alias("node"), F.size("sa").alias("n_lead"), F.size("sb").alias("n"), differ))
+    found = delta.where("9 * size(delta) <= n + n_lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    rest = _unconnected(delta.join(components(found), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    out = found.union(saved(with_sets(rest).where(9 * both >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")))
     release(docs.sparkSession)
     return out
 
 
+def _unconnected(delta: DataFrame) -> DataFrame:
+    """(a, b): pairs of members of one leader, of different components c, among them all with a similarity of 4/5 or more.
+
+    `delta` holds the shingles in which a member differs from its leader: those it has besides and those it lacks.
+    They are put in one order for all members, those in the fewest deltas in front.
+    Texts a and b are 4/5 alike if they differ in (n_a + n_b) / 9 shingles at most, that is, if their deltas share
+    (e_a + e_b) / 18 or more, where e = 9 * size(delta) - n.  A member is linked to its leader if e <= n_lead, and
+    e >= -n_lead for any; so a pair that isn't linked through the leader shares at least one shingle, and the first one that
+    they share must stand so far in front that enough can follow: in the first n / 9 or so of the member with the lesser e.
+    Variants of a text made by different edits share none there, so a group's pairs aren't written.  No order loses a pair.
+    """
+    split = delta.groupBy("lead").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("lead")
+    d = saved(delta.join(split, "lead", "left_semi"))
+    each = d.select("lead", "node", F.explode("delta").alias("shingle"))
+    often = each.groupBy("lead", "shingle").agg(F.count("*").alias("k")).where("k > 1")
+    shared = each.join(often, ["lead", "shingle"]).groupBy("lead", "node").agg(F.sort_array(F.collect_list(F.struct("k", "shingle"))).alias("shared"))
+    d = d.join(shared, ["lead", "node"]).withColumn("rest", F.col("shared.shingle"))
+    # shingles of one delta only come first of all; they match nothing, so their number will do
+    size, lone = F.size("delta").alias("size"), (F.size("delta") - F.size("rest")).alias("lone")
+    d = saved(d.select("lead", "node", "n", "n_lead", "c", lone, size, (9 * F.size("delta") - F.col("n")).alias("e"), "rest"))
+
+    def front(rows: DataFrame, least: Column, x: str) -> DataFrame:
+        """A row per shingle that may be the first shared one where deltas share least / 18 or more; `left` follow it."""
+        far = F.floor((18 * F.col("size") - least) / 18) + 1 - F.col("lone")
+        p = rows.select("*", F.posexplode(F.slice("rest", F.lit(1), F.greatest(far, F.lit(0)).cast("int"))).alias("at", "shingle"))
+        return p.select("lead", "shingle", *[F.col(k).alias(f"{k}_{x}") for k in ("node", "n", "c", "e")], (F.col("size") - F.col("lone") - 1 - F.col("at")).alias(f"left_{x}"))
+
+    a = front(d, F.greatest(2 * F.col("e"), F.col("e") + F.col("n_lead")), "a")
+    b = front(d.where("e > n_lead"), F.col("e") - F.col("n_lead"), "b")
+    order = (F.col("e_a") < F.col("e_b")) | ((F.col("e_a") == F.col("e_b")) & (F.col("node_a") < F.col("node_b")))
+    sizes = 5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b")
+    enough = 18 * (1 + F.least("left_a", "left_b")) >= F.col("e_a") + F.col("e_b")
+    met = a.join(b, ["lead", "shingle"]).where(order & (F.col("c_a") != F.col("c_b")) & sizes & enough)
+    return saved(met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
     """Pipeline stage: one document of each group of near_links() stays, the one with the smallest doc_id (nulls last).  Columns as those of docs.
 
