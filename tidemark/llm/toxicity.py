@@ -7,7 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +19,8 @@ from tidemark.llm.common import body, load, saved
 
 #: Labelled examples in the index, at most: those with the least hashes of their doc_id.
 EXAMPLES = 6_000
-#: Nearest examples that vote; weight of the base rate among their votes; examples in a block.
-NEAREST, PRIOR, BLOCK = 50, 0.5, 64
+#: Nearest examples that vote; weight of the base rate among their votes; examples in a block, in a small index and in that of train().
+NEAREST, PRIOR, BLOCK, WIDE = 50, 0.5, 64, 1_024
 THRESHOLD = 0.7
 _WORD = re.compile(r"\w+")
 
@@ -40,9 +40,9 @@ class BlockMaxIndex:
 
     A term's postings in a block lie together, so a block that isn't wanted is never read.  `read` counts postings read."""
 
-    def __init__(self, examples: list[tuple[int, int, np.ndarray, np.ndarray]], weights: np.ndarray):
-        """examples: doc_id, label, sorted terms and their counts.  weights: of each term."""
-        self.weights, self.read = weights, 0
+    def __init__(self, examples: list[tuple[int, int, np.ndarray, np.ndarray]], weights: np.ndarray, wide: int = BLOCK):
+        """examples: doc_id, label, sorted terms and their counts.  weights: of each term.  wide: examples in a block, 65,536 at most."""
+        self.weights, self.read, self.wide = weights, 0, wide
         rows = []
         for doc, label, terms, counts in examples:
             t, w = self.vector(terms, counts)
@@ -56,18 +56,30 @@ class BlockMaxIndex:
         row = np.repeat(np.arange(len(rows)), [len(r[3]) for r in rows])
         order = np.lexsort((row, term))  # rows of a block are neighbours
         term, row, self.weight = term[order], row[order], weight[order]
-        block = row // BLOCK
+        block = row // wide
         new = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.empty(0, np.int64)
         # narrow types, since each executor holds a copy: a posting is its row in the block and its weight
-        self.row = (row % BLOCK).astype(np.uint8)
+        self.row = (row % wide).astype(np.uint16)
         #: an entry for each term and block: where its postings start, its block, its largest weight, rounded up
         self.start, self.block = np.r_[new, len(term)].astype(np.int32), block[new].astype(np.int16)
         most = np.maximum.reduceat(self.weight, new) if len(new) else np.empty(0)
         self.most = np.nextafter(most.astype(np.float32), np.float32(2))
         self.entry = np.searchsorted(term[new], np.arange(len(weights) + 1)).astype(np.int32)
-        self.blocks = -(-len(rows) // BLOCK)
+        self.blocks = -(-len(rows) // wide)
         # base rate of all examples: what a text without any term of the space has to go by
         self.base = float(self.labels.mean()) if rows else 0.5
+        self._fill()
+
+    def _fill(self) -> None:
+        """The rows of the postings as places in all scores: made where the index is used, and never sent."""
+        self.place = np.repeat(self.block.astype(np.int64) * self.wide, np.diff(self.start)) + self.row
+
+    def __getstate__(self) -> dict:
+        return {k: x for k, x in self.__dict__.items() if k != "place"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._fill()
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Terms of a weight above 0, and weights of length 1."""
@@ -86,22 +98,22 @@ class BlockMaxIndex:
         entry, weight = _ranges(self.entry[t], n), np.repeat(w, n)
         block = self.block[entry].astype(np.int64)
         bound = np.bincount(block, weight * self.most[entry], self.blocks)
-        order, score = np.argsort(-bound, kind="stable"), np.zeros(self.blocks * BLOCK)
-        taken, least, step = 0, 0.0, 4
+        order, score = np.argsort(-bound, kind="stable"), np.zeros(self.blocks * self.wide)
+        taken, least, step = 0, 0.0, 1
         while taken < len(order) and bound[order[taken]] > 0 and bound[order[taken]] >= least - 1e-12:
             use = np.zeros(self.blocks, bool)
             use[order[taken : taken + step]] = True
             if least:
                 use &= bound >= least - 1e-12
-            mine = use[block]
+            mine = np.flatnonzero(use[block])
             e = entry[mine]
             size = (self.start[e + 1] - self.start[e]).astype(np.int64)
+            self.read += int(size.sum())
             at = _ranges(self.start[e].astype(np.int64), size)
-            self.read += len(at)
-            score += np.bincount(np.repeat(block[mine] * BLOCK, size) + self.row[at], self.weight[at] * np.repeat(weight[mine], size), len(score))
-            taken, step = taken + step, step * 2
-            if np.count_nonzero(score) >= k:
-                least = np.partition(score, len(score) - k)[len(score) - k]
+            score += np.bincount(self.place[at], self.weight[at] * np.repeat(weight[mine], size), len(score))
+            taken, step = taken + step, step * 8
+            if len(score) >= k:
+                least = float(np.partition(score, len(score) - k)[len(score) - k])
         top = np.flatnonzero((score > 0) & (score >= least))
         top = top[np.lexsort((top, -score[top]))[:k]]
         return top, score[top]
@@ -150,8 +162,10 @@ def _texts(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
 
 def _numbered(number: dict[str, int], text: str) -> tuple[np.ndarray, np.ndarray]:
     """Sorted numbers of the text's known words, and their counts."""
-    found = sorted((number[w], n) for w, n in counted(text).items() if w in number)
-    return np.array([t for t, _ in found], np.int64), np.array([n for _, n in found], np.float64)
+    words = _WORD.findall(text.lower())
+    t, n = np.unique(np.fromiter(map(number.get, words, repeat(-1)), np.int64, len(words)), return_counts=True)
+    known = np.searchsorted(t, 0)  # unknown words come first
+    return t[known:], n[known:].astype(np.float64)
 
 
 def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
@@ -182,12 +196,13 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model
 
     def frequencies(batches):
         """Rows of the words that this task met: one each, summed over its documents."""
-        number, total, n = shared.value, np.zeros(len(shared.value), np.int64), 0
+        number, total, n = shared.value, np.zeros(len(shared.value) + 1, np.int64), 0
         for b, texts in _texts(batches):
             n += len(b)
             for t in texts:
-                total[[number[w] for w in set(_WORD.findall(t.lower())) if w in number]] += 1
-        some = np.flatnonzero(total)
+                found = set(_WORD.findall(t.lower()))
+                total[np.fromiter(map(number.get, found, repeat(-1)), np.int64, len(found))] += 1  # the last counts unknown words
+        some = np.flatnonzero(total[:-1])
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[some, -1].astype(np.int32)), pa.array(np.r_[total[some], n])], ["term", "df"])
 
     counts = docs.select(body().alias("text")).mapInArrow(frequencies, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
@@ -205,7 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model
 
     each = saved(sample.select("_d", "y", "text").mapInArrow(vectors, "d long, y int, t array<long>, c array<double>"))
     held = each.orderBy("d").toArrow()  # EXAMPLES rows at most
-    index = BlockMaxIndex([(d.as_py(), y.as_py(), t.values.to_numpy(), c.values.to_numpy()) for d, y, t, c in zip(*(held.column(x) for x in "dytc"), strict=True)], weights)
+    index = BlockMaxIndex([(d.as_py(), y.as_py(), t.values.to_numpy(), c.values.to_numpy()) for d, y, t, c in zip(*(held.column(x) for x in "dytc"), strict=True)], weights, WIDE)
     trained = spark.sparkContext.broadcast(index)
 
     def votes(batches):
