@@ -17,6 +17,8 @@ PAIRWISE = 48
 #: The pipeline stage links texts whose sets of NEAR_WORDS-word shingles have a Jaccard similarity of 4/5 or more.  Its candidates
 #: share one of BANDS bands of DEEP minhashes; a pair at 4/5 is missed with probability (1 - 0.8**DEEP)**BANDS = 3e-5.
 NEAR_WORDS, BANDS, DEEP = 5, 20, 4
+#: Bits of the cells that count shingles of differing members.
+CELLS = 18
 
 
 def _majority(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,11 +233,51 @@ def near_links(docs: DataFrame) -> DataFrame:
     return out
 
 
+def _cells(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all shingles in the deltas of a batch: row, shingle, and the cell that counts the shingle under its leader."""
+    n = np.diff(b.column("delta").offsets.to_numpy())
+    row, shingle = np.repeat(np.arange(len(b)), n), b.column("delta").flatten().to_numpy(zero_copy_only=False)
+    mixed = b.column("lead").to_numpy().view(np.uint64)[row] * np.uint64(0x9E3779B97F4A7C15) ^ shingle.view(np.uint64)
+    return row, shingle, ((mixed * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - CELLS)).astype(np.int64)
+
+
+def _by_rarity(d: DataFrame) -> DataFrame:
+    """d with `rest`, the shingles of its delta that may be in others of the same leader, rare ones first.
+
+    Shingles are counted in a table of 2**CELLS cells, which is all that is gathered and sent out.  Shingles that share a
+    cell count as more frequent than they are: the order stays one for all members, and a count of 1 stays certain."""
+
+    def count(batches):
+        total = np.zeros(1 << CELLS, np.int64)
+        for b in batches:
+            total += np.bincount(_cells(b)[2], minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["cell", "k"])
+
+    rows = packed(d.select("lead", "delta"), d.count(), 10_000)
+    met = rows.mapInArrow(count, "cell int, k long").groupBy("cell").agg(F.sum("k").alias("k")).toArrow()  # 2**CELLS rows at most
+    total = np.zeros(1 << CELLS, np.int32)
+    total[met.column("cell").to_numpy()] = np.minimum(met.column("k").to_numpy(), np.iinfo(np.int32).max)
+    shared = d.sparkSession.sparkContext.broadcast(total)
+
+    def order(batches):
+        for b in batches:
+            row, shingle, cell = _cells(b)
+            k = shared.value[cell]
+            use = np.flatnonzero(k > 1)
+            use = use[np.lexsort((shingle[use], k[use], row[use]))]
+            offsets = np.r_[0, np.cumsum(np.bincount(row[use], minlength=len(b)))].astype(np.int32)
+            rest = pa.ListArray.from_arrays(pa.array(offsets), pa.array(shingle[use]))
+            yield pa.RecordBatch.from_arrays([*b.columns, rest], [*b.schema.names, "rest"])
+
+    return d.mapInArrow(order, "lead long, node long, n int, n_lead int, c long, delta array<long>, rest array<long>")
+
+
 def _unconnected(delta: DataFrame) -> DataFrame:
     """(a, b): pairs of members of one leader, of different components c, among them all with a similarity of 4/5 or more.
 
     `delta` holds the shingles in which a member differs from its leader: those it has besides and those it lacks.
-    They are put in one order for all members, those in the fewest deltas in front.
+    They are put in one order for all members, those in the fewest deltas in front (see _by_rarity()).
     Texts a and b are 4/5 alike if they differ in (n_a + n_b) / 9 shingles at most, that is, if their deltas share
     (e_a + e_b) / 18 or more, where e = 9 * size(delta) - n.  A member is linked to its leader if e <= n_lead, and
     e >= -n_lead for any; so a pair that isn't linked through the leader shares at least one shingle, and the first one that
@@ -244,10 +286,7 @@ def _unconnected(delta: DataFrame) -> DataFrame:
     """
     split = delta.groupBy("lead").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("lead")
     d = saved(delta.join(split, "lead", "left_semi"))
-    each = d.select("lead", "node", F.explode("delta").alias("shingle"))
-    often = each.groupBy("lead", "shingle").agg(F.count("*").alias("k")).where("k > 1")
-    shared = each.join(often, ["lead", "shingle"]).groupBy("lead", "node").agg(F.sort_array(F.collect_list(F.struct("k", "shingle"))).alias("shared"))
-    d = d.join(shared, ["lead", "node"]).withColumn("rest", F.col("shared.shingle"))
+    d = _by_rarity(d.select("lead", "node", "n", "n_lead", "c", "delta"))
     # shingles of one delta only come first of all; they match nothing, so their number will do
     size, lone = F.size("delta").alias("size"), (F.size("delta") - F.size("rest")).alias("lone")
     d = saved(d.select("lead", "node", "n", "n_lead", "c", lone, size, (9 * F.size("delta") - F.col("n")).alias("e"), "rest"))
