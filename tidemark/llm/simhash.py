@@ -17,8 +17,8 @@ PAIRWISE = 48
 #: The pipeline stage links texts whose sets of NEAR_WORDS-word shingles have a Jaccard similarity of 4/5 or more.  Its candidates
 #: share one of BANDS bands of DEEP minhashes; a pair at 4/5 is missed with probability (1 - 0.8**DEEP)**BANDS = 3e-5.
 NEAR_WORDS, BANDS, DEEP = 5, 20, 4
-#: Bits of the cells that count shingles of differing members.
-CELLS = 18
+#: Bits of the cells that count shingles of differing members, and of the pieces in which the counts travel.
+CELLS, CHUNK = 22, 16
 
 
 def _majority(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,13 +251,25 @@ def _by_rarity(d: DataFrame) -> DataFrame:
         total = np.zeros(1 << CELLS, np.int64)
         for b in batches:
             total += np.bincount(_cells(b)[2], minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["cell", "k"])
+        yield pieces({i: x for i, x in enumerate(total.reshape(-1, 1 << CHUNK)) if x.any()})
+
+    def add(batches):
+        sums = {}
+        for b in batches:
+            for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                sums[i] = sums.get(i, 0) + np.frombuffer(x, np.int64)
+        yield pieces(sums)
+
+    def pieces(sums):
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["i", "k"])
 
     rows = packed(d.select("lead", "delta"), d.count(), 10_000)
-    met = rows.mapInArrow(count, "cell int, k long").groupBy("cell").agg(F.sum("k").alias("k")).toArrow()  # 2**CELLS rows at most
-    total = np.zeros(1 << CELLS, np.int32)
-    total[met.column("cell").to_numpy()] = np.minimum(met.column("k").to_numpy(), np.iinfo(np.int32).max)
+    each = rows.mapInArrow(count, "i int, k binary")  # a row per piece and task, whatever the task holds
+    met = each.repartition("i").mapInArrow(add, "i int, k binary").toArrow()
+    total = np.zeros((1 << (CELLS - CHUNK), 1 << CHUNK), np.int32)
+    for i, x in zip(met.column("i").to_pylist(), met.column("k").to_pylist(), strict=True):
+        total[i] = np.minimum(np.frombuffer(x, np.int64), np.iinfo(np.int32).max)
+    total = total.reshape(-1)
     shared = d.sparkSession.sparkContext.broadcast(total)
 
     def order(batches):
