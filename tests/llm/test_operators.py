@@ -1,11 +1,13 @@
 """Each operator against brute force, on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -166,6 +168,38 @@ def test_near_links_in_groups_of_variants(spark, monkeypatch):
     assert counts[0] < 140 * 139 / 2 / 4
 
 
+def test_near_copies_meet_by_wildcard_variants(spark):
+    """The stage's SimHash: bits differ as the angle says, and all texts that share a variant, are near by check bits and of different components meet."""
+    rng, bits, segments = np.random.default_rng(3), 12, 19
+    common, own = rng.integers(-(2**63), 2**63, 800), rng.integers(-(2**63), 2**63, (2, 100))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([[*common, *x] for x in own], pa.list_(pa.int64()))], ["node", "s"])  # 0.8 alike
+    (out,) = simhash._wide(iter([batch]), bits, segments)
+    f, g = (np.bitwise_count(np.bitwise_xor(*out.column(i).to_numpy().view(np.uint64))) for i in (1, 2))
+    v = np.stack([np.frombuffer(x.as_py(), np.int32) for x in out.column(3)])
+    assert abs((f + g + np.bitwise_count(v[0] ^ v[1]).sum()) / (128 + bits * segments) - simhash.NEAR_BITS) < 0.06
+    assert any(np.bitwise_count(v[0] ^ v[1]) < 2)
+
+    rows, base = [], rng.integers(0, 2**bits, (40, 3))
+    for node in range(400):  # more than PAIRWISE around the first base
+        one = base[0 if node < 150 else node % 40] ^ (1 << rng.integers(0, bits, 3)) * rng.integers(0, 2, 3)
+        check = [int.from_bytes(rng.bytes(8), "little", signed=True) if rng.random() < 0.3 else 7 for _ in "fg"]
+        rows.append((node, node if node % 3 else 0, *check, one.astype(np.int32)))
+    d = spark.createDataFrame([(*r[:4], r[4].tobytes()) for r in rows], "node long, c long, f long, g long, v binary")
+    halves = d.mapInArrow(lambda it: simhash._halves(it, bits, 0, 3), "key long, node long, c long, f long, g long").repartition(4, F.shiftright("key", bits // 2))
+    for size in ("7", "10000"):  # groups cut by batches and whole
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        met = halves.sortWithinPartitions("key").mapInArrow(lambda it: simhash._meets(it, bits), "key long, node long, m long").collect()
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        buckets = defaultdict(set)
+        for r in met:
+            buckets[r["key"]].add(r["node"])
+        assert all(len(buckets[r["key"]]) == r["m"] for r in met)
+        got = {(a, b) for x in buckets.values() for a in x for b in x if a < b}
+        near = lambda a, b: sum(((a[i] ^ b[i]) & (2**64 - 1)).bit_count() for i in (2, 3)) <= simhash.CHECK
+        want = {(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if a[1] != b[1] and near(a, b) and (np.bitwise_count(a[4] ^ b[4]) < 2).any()}
+        assert want and want <= got
+
+
 def test_simhash_large_bucket(spark):
     """Far more fingerprints in a bucket than are compared pair by pair, and all around 0."""
     rng = random.Random(5)

@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, body, load, packed, release, saved, words
+from tidemark.llm.common import ascii_lower, body, forget, load, packed, release, saved, words
 from tidemark.llm.components import components
 
 #: Buckets up to this many fingerprints are compared pair by pair; larger ones go through the exact clique variants.
 PAIRWISE = 48
-#: The pipeline stage links texts whose sets of NEAR_WORDS-word shingles have a Jaccard similarity of 4/5 or more.  Its candidates
-#: share one of BANDS bands of DEEP minhashes; a pair at 4/5 is missed with probability (1 - 0.8**DEEP)**BANDS = 3e-5.
-NEAR_WORDS, BANDS, DEEP = 5, 20, 4
+#: The pipeline stage links texts whose sets of NEAR_WORDS-word shingles have a Jaccard similarity of 4/5 or more.  At 4/5 a share
+#: NEAR_BITS of the bits of their SimHashes differs, as the cosine is 8/9.  Segments are so many that one has a wildcard variant in
+#: common with a probability of 1 - MISS; then CHECK_BITS further bits must agree but for CHECK, which 1e-5 of such pairs exceed.
+NEAR_WORDS, NEAR_BITS, MISS = 5, math.acos(8 / 9) / math.pi, 3e-5
+CHECK_BITS, CHECK = 128, 38
+#: The segments of the first round, which connects most near copies; later ones only look at texts not connected yet.
+EARLY, AT_ONCE = 8, 24
 #: Bits of the cells that count shingles of differing members, and of the pieces in which the counts travel.
 CELLS, CHUNK = 22, 16
 
@@ -174,34 +180,132 @@ def simhash_dedup(docs: DataFrame) -> DataFrame:
     return fp.join(top, "fp").select("doc_id", "fp", "component_id")
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (node, n, shingle hashes, at least one): a row per band, (key, band, node, n)."""
+def near_segments(texts: int) -> tuple[int, int]:
+    """Bits of a segment, an even number, and segments of the stage's SimHash.
+
+    Two texts that have nothing in common share a variant of a segment of b bits by chance, with b + 1 in 2**b: b grows with
+    the logarithm of the number of texts, so that each meets as many strangers whatever the input."""
+    bits = min(28, max(12, 2 * math.ceil((math.log2(max(texts, 2)) + 1.5) / 2)))
+    same = (1 - NEAR_BITS) ** bits + bits * NEAR_BITS * (1 - NEAR_BITS) ** (bits - 1)
+    return bits, math.ceil(math.log(MISS) / math.log(1 - same))
+
+
+def _wide(batches: Iterator[pa.RecordBatch], bits: int, segments: int) -> Iterator[pa.RecordBatch]:
+    """From (node, shingle hashes): (node, f, g, v), the SimHash of CHECK_BITS + segments * bits bits; f and g are the check bits, v the segments."""
     rng = np.random.default_rng(6)
-    flip, factor = (rng.integers(0, 2**64, (BANDS, DEEP), np.uint64) for _ in range(2))
-    factor |= np.uint64(1)
-    join = rng.integers(0, 2**64, (BANDS, DEEP), np.uint64) | np.uint64(1)
+    width = -(-(CHECK_BITS + segments * bits) // 64)
+    flip, one, two = (rng.integers(0, 2**64, width, np.uint64) for _ in range(3))
+    one, two = one | np.uint64(1), two | np.uint64(1)
+    power = 2.0 ** np.arange(bits)
     for b in batches:
-        lists = b.column(2)
+        lists = b.column(1)
         values, at = lists.values.to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
-        for k in range(0, len(b), 256):
-            o = at[k : k + 257]
-            x, start = values[o[0] : o[-1]], o[:-1] - o[0]
-            keys = np.zeros((BANDS, len(start)), np.uint64)
-            for i in range(BANDS):
-                for j in range(DEEP):
-                    h = (x ^ flip[i, j]) * factor[i, j]
-                    least = np.minimum.reduceat(h ^ (h >> np.uint64(32)), start)
-                    keys[i] = (keys[i] ^ least) * join[i, j]
-            own = [np.tile(b.column(c).to_numpy()[k : k + 256], BANDS) for c in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(np.arange(BANDS, dtype=np.int32), len(start))), *map(pa.array, own)], ["key", "band", "node", "n"])
+        for k in range(0, len(b), 1024):
+            o = at[k : k + 1025]
+            up = np.zeros((len(o) - 1, 64 * width), bool)
+            for i in range(len(up)):
+                total = np.zeros(64 * width, np.int32)
+                for j in range(int(o[i]), int(o[i + 1]), 255):  # sums of 255 fit a byte
+                    h = (values[j : min(j + 255, int(o[i + 1])), None] ^ flip) * one
+                    h = (h ^ (h >> np.uint64(32))) * two
+                    h ^= h >> np.uint64(29)
+                    total += np.add.reduce(np.unpackbits(h.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+                up[i] = 2 * total > o[i + 1] - o[i]
+            check = np.packbits(up[:, :CHECK_BITS], axis=1, bitorder="little").view(np.int64)
+            v = (up[:, CHECK_BITS : CHECK_BITS + segments * bits].reshape(-1, bits) @ power).astype(np.int32).reshape(len(up), segments)
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1024), *(pa.array(np.ascontiguousarray(x)) for x in check.T), pa.array([x.tobytes() for x in v], pa.binary())], ["node", "f", "g", "v"])
+
+
+def _halves(batches: Iterator[pa.RecordBatch], bits: int, first: int, last: int) -> Iterator[pa.RecordBatch]:
+    """From (node, c, f, g, v): two rows for each segment, (key, node, c, f, g).  A variant has its wildcard in one half of the segment, and
+    that half is the end of the key: segment, which half, the other half, this half."""
+    h = bits // 2
+    for b in batches:
+        if not len(b):
+            continue
+        v = np.frombuffer(b"".join(b.column(4).to_pylist()), np.int32).reshape(len(b), -1)[:, first:last].astype(np.int64)
+        s = np.arange(first, first + v.shape[1], dtype=np.int64) << (bits + 1)
+        turned = (v & ((1 << h) - 1)) << h | v >> h
+        key = np.stack([s | v, s | 1 << bits | turned], 2).reshape(len(b), -1)
+        step = max(1, 65536 // max(1, key.shape[1]))
+        for k in range(0, len(b), step):
+            own = [pa.array(np.repeat(b.column(i).to_numpy()[k : k + step], key.shape[1])) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([pa.array(key[k : k + step].reshape(-1)), *own], ["key", "node", "c", "f", "g"])
+
+
+def _meets(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """From rows of _halves() sorted by key: (key, node, m), the m texts of a variant that have one of another component c near them there.
+
+    Near are those whose check bits differ in CHECK at most.  In buckets of more than PAIRWISE texts, the few that aren't of the commonest
+    component are compared with all; if they are many, all count as near.  Texts of equal segments meet without a wildcard only."""
+    h = bits // 2
+
+    def near(f, g, i, j):
+        return np.bitwise_count((f[i] ^ f[j]).view(np.uint64)) + np.bitwise_count((g[i] ^ g[j]).view(np.uint64)) <= CHECK
+
+    def work(key, node, c, f, g):
+        for wild in range(-1, h):
+            bit = np.int64(1 << wild if wild >= 0 else 0)
+            rows = np.flatnonzero(key >> bits & 1 == 0) if wild < 0 else np.arange(len(key))
+            k = key[rows] & ~bit
+            order = np.argsort(k, kind="stable")
+            k, rows = k[order], rows[order]
+            at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+            n = np.repeat(np.diff(np.r_[at, len(k)]), np.diff(np.r_[at, len(k)]))
+            k, rows, n = k[n > 1], rows[n > 1], n[n > 1]
+            alive = np.zeros(len(k), bool)
+            small = np.flatnonzero(n <= PAIRWISE)
+            ks, rs = k[small], rows[small]
+            for step in range(1, PAIRWISE):
+                i = np.flatnonzero(ks[step:] == ks[:-step])
+                if not len(i):
+                    break
+                a, b = rs[i], rs[i + step]
+                ok = i[(c[a] != c[b]) & (key[a] ^ key[b] == bit) & near(f, g, a, b)]
+                alive[small[ok]] = alive[small[ok + step]] = True
+            large = np.flatnonzero(n > PAIRWISE)
+            for own in np.split(large, np.flatnonzero(np.diff(k[large])) + 1) if len(large) else []:
+                r = rows[own]
+                kinds, which, count = np.unique(c[r], return_inverse=True, return_counts=True)
+                if len(kinds) == 1 or wild >= 0 and len(np.unique(key[r])) == 1:
+                    continue
+                few = np.flatnonzero(which != count.argmax())
+                if len(few) > PAIRWISE:
+                    alive[own] = True
+                    continue
+                for x in few:
+                    ok = (which != which[x]) & (key[r] ^ key[r[x]] == bit) & near(f, g, r, r[x])
+                    alive[own[ok]] = True
+                    alive[own[x]] |= ok.any()
+            if alive.any():
+                met, back, m = np.unique(k[alive], return_inverse=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array((met | (wild + 1) << 48)[back]), pa.array(node[rows[alive]]), pa.array(m[back])], ["key", "node", "m"])
+
+    held: list[list[np.ndarray]] = []  # rows of the last group, which may go on
+    for b in batches:
+        if not len(b):
+            continue
+        x = [b.column(i).to_numpy() for i in range(5)]
+        part = x[0] >> h
+        cut = int(np.searchsorted(part, part[-1]))
+        if held and (cut or held[0][0][0] >> h != part[0]):
+            yield from work(*map(np.concatenate, zip(*held, [y[:cut] for y in x], strict=True)))
+            held = []
+        elif cut:
+            yield from work(*(y[:cut] for y in x))
+        held.append([y[cut:] for y in x])
+    if held:
+        yield from work(*map(np.concatenate, zip(*held, strict=True)))
 
 
 def near_links(docs: DataFrame) -> DataFrame:
     """(a, b): hashes of texts with a Jaccard similarity of 4/5 or more; enough of them to connect every such pair of candidates.
 
-    SimHash has no say here: at 4/5 about ten of 64 bits differ, more than segments with a wildcard can find.  Members of each
+    Candidates are found by SimHash: of two texts alike by 4/5 about 15 % of the bits differ, too many for 64 bits, so the
+    fingerprints here are of near_segments() segments; texts that share a one-wildcard variant of one are a bucket.  Members of each
     bucket are verified against its leader first, so that copies of one text cost a row per member; then _unconnected() gives
     the pairs of members that may still be alike, and these are verified.  Blank texts count as one shingle.
+    The first EARLY segments connect most near copies; for the others only texts of different components meet.
     """
 
     def sets(d: DataFrame) -> DataFrame:
@@ -209,26 +313,49 @@ def near_links(docs: DataFrame) -> DataFrame:
         return d.select("node", F.array_distinct(F.when(F.size("w") == 0, F.array(F.lit(0).cast("long"))).otherwise(_shingles("w", NEAR_WORDS))).alias("s"))
 
     texts = docs.select(F.xxhash64(body()).alias("node"), body().alias("t"))
-    rows = saved(sets(texts).select("node", F.size("s").alias("n"), "s").mapInArrow(_bands, "key long, band int, node long, n int").distinct())
-    sizes = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    met = saved(rows.join(sizes, "key").select("key", "node", "m"))
-    # the text that shares most buckets with others leads: of a group of near copies that is what they were copied from
-    weight = met.groupBy("node").agg(F.sum("m").alias("w"))
-    lead = met.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("w", "node")).alias("lead"))
-    led = saved(met.join(lead, "key").where("node <> lead").select("lead", "node").distinct())
-    known = saved(sets(texts.join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])))
-
-    def with_sets(pairs: DataFrame) -> DataFrame:
-        a, b = (known.select(F.col("node").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
-        return pairs.join(a, "a").join(b, "b")
-
-    pairs = with_sets(led.select(F.col("lead").alias("a"), F.col("node").alias("b")))
-    differ = F.concat(F.array_except("sb", "sa"), F.array_except("sa", "sb")).alias("delta")
-    delta = saved(pairs.select(F.col("a").alias("lead"), F.col("b").alias("node"), F.size("sa").alias("n_lead"), F.size("sb").alias("n"), differ))
-    found = delta.where("9 * size(delta) <= n + n_lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
-    rest = _unconnected(delta.join(components(found), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    out = found.union(saved(with_sets(rest).where(9 * both >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")))
+    bits, segments = near_segments(docs.count())
+    wide = saved(sets(texts).mapInArrow(lambda it: _wide(it, bits, segments), "node long, f long, g long, v binary").distinct())
+
+    def meets(named: DataFrame, first: int, last: int) -> DataFrame:
+        """Rows of _meets() for some segments, written so that their shuffle can go."""
+        rows = named.mapInArrow(lambda it: _halves(it, bits, first, last), "key long, node long, c long, f long, g long")
+        rows = rows.repartition(F.shiftright("key", bits // 2)).sortWithinPartitions("key")
+        out = saved(rows.mapInArrow(lambda it: _meets(it, bits), "key long, node long, m long"))
+        release(docs.sparkSession)
+        return out
+
+    def verified(met: DataFrame, found: DataFrame | None) -> DataFrame:
+        """`found` and the links of the buckets `met`."""
+        # the text that shares most buckets with others leads: of a group of near copies that is what they were copied from
+        weight = met.groupBy("node").agg(F.sum("m").alias("w"))
+        lead = met.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("w", "node")).alias("lead"))
+        led = saved(met.join(lead, "key").where("node <> lead").select("lead", "node").distinct())
+        known = saved(sets(texts.join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])))
+
+        def with_sets(pairs: DataFrame) -> DataFrame:
+            a, b = (known.select(F.col("node").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
+            return pairs.join(a, "a").join(b, "b")
+
+        pairs = with_sets(led.select(F.col("lead").alias("a"), F.col("node").alias("b")))
+        differ = F.concat(F.array_except("sb", "sa"), F.array_except("sa", "sb")).alias("delta")
+        delta = saved(pairs.select(F.col("a").alias("lead"), F.col("b").alias("node"), F.size("sa").alias("n_lead"), F.size("sb").alias("n"), differ))
+        near = delta.where("9 * size(delta) <= n + n_lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+        found = saved(near if found is None else found.union(near))
+        rest = _unconnected(delta.join(components(found), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component"))
+        both = F.size(F.array_intersect("sa", "sb"))
+        out = saved(found.union(with_sets(rest).where(9 * both >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")))
+        for x in (led, known, delta, found):
+            forget(x)
+        return out
+
+    early = meets(wide.select("node", F.col("node").alias("c"), "f", "g", "v"), 0, EARLY)
+    found = verified(early, None)
+    named = wide.join(components(found), "node", "left").select("node", F.coalesce("component", "node").alias("c"), "f", "g", "v")
+    named = saved(named)
+    late = [meets(named, k, min(k + AT_ONCE, segments)) for k in range(EARLY, segments, AT_ONCE)]
+    out = verified(reduce(DataFrame.union, late), found)
+    for x in (wide, early, named, found, *late):
+        forget(x)
     release(docs.sparkSession)
     return out
 
