@@ -200,6 +200,23 @@ def test_near_copies_meet_by_wildcard_variants(spark):
         assert want and want <= got
 
 
+def test_rarity_gathers_a_byte_for_each_cell(spark, monkeypatch):
+    """Counts that reach the driver are small whatever they count, and shingles of few deltas still come first."""
+    frame, plain, gathered = type(spark.range(0)), type(spark.range(0)).toArrow, []
+
+    def seen(df):
+        gathered.append(plain(df))
+        return gathered[-1]
+
+    monkeypatch.setattr(frame, "toArrow", seen)
+    rows = [(5, i, 900, 900, i, [1, *([2] if i < 280 else []), *([3] if i < 3 else []), 1000 + i]) for i in range(400)]
+    rows += [(6, 1000, 900, 900, 0, list(range(10_000, 12_000)))]
+    out = simhash._by_rarity(spark.createDataFrame(rows, "lead long, node long, n int, n_lead int, c long, delta array<long>"))
+    rest = {r["node"]: r["rest"] for r in out.collect()}
+    assert sum(x.nbytes for x in gathered) < 1.1 * 2**simhash.CELLS
+    assert rest[0][-3:] == [3, 2, 1] and rest[279][-2:] == [2, 1] and rest[399][-1] == 1
+
+
 def test_simhash_large_bucket(spark):
     """Far more fingerprints in a bucket than are compared pair by pair, and all around 0."""
     rng = random.Random(5)

@@ -371,8 +371,9 @@ def _cells(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _by_rarity(d: DataFrame) -> DataFrame:
     """d with `rest`, the shingles of its delta that may be in others of the same leader, rare ones first.
 
-    Shingles are counted in a table of 2**CELLS cells, which is all that is gathered and sent out.  Shingles that share a
-    cell count as more frequent than they are: the order stays one for all members, and a count of 1 stays certain."""
+    Shingles are counted in a table of 2**CELLS cells, which is all that is gathered and sent out, as a byte each: counts from 128 on
+    by eighths of powers of two.  Shingles that share a cell count as more frequent than they are: the order stays one for all
+    members, and a count of 1 stays certain."""
 
     def count(batches):
         total = np.zeros(1 << CELLS, np.int64)
@@ -385,7 +386,7 @@ def _by_rarity(d: DataFrame) -> DataFrame:
         for b in batches:
             for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 sums[i] = sums.get(i, 0) + np.frombuffer(x, np.int64)
-        yield pieces(sums)
+        yield pieces({i: np.where(x < 128, x, np.minimum(255, 8 * np.log2(np.maximum(x, 1)) + 72)).astype(np.uint8) for i, x in sums.items()})
 
     def pieces(sums):
         return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["i", "k"])
@@ -393,9 +394,9 @@ def _by_rarity(d: DataFrame) -> DataFrame:
     rows = packed(d.select("lead", "delta"), d.count(), 10_000)
     each = rows.mapInArrow(count, "i int, k binary")  # a row per piece and task, whatever the task holds
     met = each.repartition("i").mapInArrow(add, "i int, k binary").toArrow()
-    total = np.zeros((1 << (CELLS - CHUNK), 1 << CHUNK), np.int32)
+    total = np.zeros((1 << (CELLS - CHUNK), 1 << CHUNK), np.uint8)
     for i, x in zip(met.column("i").to_pylist(), met.column("k").to_pylist(), strict=True):
-        total[i] = np.minimum(np.frombuffer(x, np.int64), np.iinfo(np.int32).max)
+        total[i] = np.frombuffer(x, np.uint8)
     total = total.reshape(-1)
     shared = d.sparkSession.sparkContext.broadcast(total)
 
