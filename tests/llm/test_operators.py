@@ -217,6 +217,40 @@ def test_rarity_gathers_a_byte_for_each_cell(spark, monkeypatch):
     assert rest[0][-3:] == [3, 2, 1] and rest[279][-2:] == [2, 1] and rest[399][-1] == 1
 
 
+def test_members_of_small_leaders_need_no_row_for_a_shingle(spark, monkeypatch):
+    """However many deltas there are, none of a small leader reaches the shared cells, and the pairs are those of brute force."""
+    rng, rows = random.Random(8), []
+    for lead in range(300):
+        own = [rng.sample(range(900), rng.randint(20, 60)) for _ in range(2)]
+        for i in range(8):
+            delta = {*own[i % 2], *rng.sample(range(1000, 1400), rng.randint(0, 40))}
+            rows.append((lead, 10 * lead + i, rng.randint(150, 200), 180, 10 * lead + i // 2, sorted(delta)))
+    monkeypatch.setattr(simhash, "_by_rarity", lambda d: pytest.fail(f"{d.count()} deltas in the cells"))
+    d = spark.createDataFrame(rows, "lead long, node long, n int, n_lead int, c long, delta array<long>")
+    got = simhash._unconnected(d.repartition(3)).collect()
+    alike = {(a[1], b[1]) for i, a in enumerate(rows) for b in rows[i + 1 : i + 8] if a[0] == b[0] and a[4] != b[4] and 9 * len({*a[5]} ^ {*b[5]}) <= a[2] + b[2]}
+    assert alike >= {(r["a"], r["b"]) for r in got} and len(alike) > 100
+    nodes = [r[1] for r in rows]
+    top = lambda pairs: components(spark.createDataFrame(sorted(pairs), "a long, b long")).collect()
+    assert {(r["node"], r["component"]) for r in top(alike)} == {(r["node"], r["component"]) for r in top({(r["a"], r["b"]) for r in got})} and len(nodes) == 2400
+
+
+def test_one_owner_and_one_row_for_each_leader(spark):
+    """Texts that meet in many variants are a row for each leader, and texts of one owner don't meet again."""
+    k, node, w = np.repeat(np.arange(50), 4), np.tile(np.arange(4), 50), np.tile([1, 9, 1, 1], 50)
+    assert simhash._leads(k, node, w).to_pylist() == [{"lead": 1, "node": x, "w": 9} for x in (0, 2, 3)]
+    led, owner = simhash._owned(spark.createDataFrame([(1, 2, 9), (2, 3, 5), (2, 4, 5), (1, 4, 9), (7, 8, 3)], "lead long, node long, w long"))
+    assert {tuple(r) for r in led.collect()} == {(1, 2), (2, 3), (2, 4), (1, 4), (1, 3), (7, 8)}
+    assert {r["node"]: r["o"] for r in owner.collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 7: 7, 8: 7}
+    names = ["key", "node", "c", "f", "g", "o", "w"]
+    for n in (6, 200):
+        rows = [np.zeros(n, np.int64), *[np.arange(n)] * 2, *[np.zeros(n, np.int64)] * 2, np.arange(n) // 2, np.arange(n)]
+        for owners, want in ((rows[5], n - 1), (rows[3], 0)):
+            x = pa.RecordBatch.from_arrays([pa.array(y) for y in (*rows[:5], owners, rows[6])], names)
+            met = [r for b in simhash._meets(iter([x]), 12, simhash._leads) for r in b.to_pylist()]
+            assert len(met) == want and {r["lead"] for r in met} <= {n - 1}
+
+
 def test_simhash_large_bucket(spark):
     """Far more fingerprints in a bucket than are compared pair by pair, and all around 0."""
     rng = random.Random(5)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ NEAR_WORDS, NEAR_BITS, MISS = 5, math.acos(8 / 9) / math.pi, 3e-5
 CHECK_BITS, CHECK = 128, 38
 #: The segments of the first round, which connects most near copies; later ones only look at texts not connected yet.
 EARLY, AT_ONCE = 8, 24
+#: The segments that tell which texts share most buckets; the members of a leader that are compared in one task at most, and their shingles.
+WEIGH, TOGETHER, IN_ALL = 4, 512, 2_000_000
 #: Bits of the cells that count shingles of differing members, and of the pieces in which the counts travel.
 CELLS, CHUNK = 22, 16
 
@@ -217,10 +220,11 @@ def _wide(batches: Iterator[pa.RecordBatch], bits: int, segments: int) -> Iterat
 
 
 def _halves(batches: Iterator[pa.RecordBatch], bits: int, first: int, last: int) -> Iterator[pa.RecordBatch]:
-    """From (node, c, f, g, v): two rows for each segment, (key, node, c, f, g).  A variant has its wildcard in one half of the segment, and
-    that half is the end of the key: segment, which half, the other half, this half."""
+    """From (node, c, f, g, v): two rows for each segment, (key, node, c, f, g), and what else the rows have.  A variant has its wildcard in
+    one half of the segment, and that half is the end of the key: segment, which half, the other half, this half."""
     h = bits // 2
     for b in batches:
+        own = [i for i in range(b.num_columns) if i != 4]
         if not len(b):
             continue
         v = np.frombuffer(b"".join(b.column(4).to_pylist()), np.int32).reshape(len(b), -1)[:, first:last].astype(np.int64)
@@ -229,21 +233,46 @@ def _halves(batches: Iterator[pa.RecordBatch], bits: int, first: int, last: int)
         key = np.stack([s | v, s | 1 << bits | turned], 2).reshape(len(b), -1)
         step = max(1, 65536 // max(1, key.shape[1]))
         for k in range(0, len(b), step):
-            own = [pa.array(np.repeat(b.column(i).to_numpy()[k : k + step], key.shape[1])) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([pa.array(key[k : k + step].reshape(-1)), *own], ["key", "node", "c", "f", "g"])
+            rows = [pa.array(np.repeat(b.column(i).to_numpy()[k : k + step], key.shape[1])) for i in own]
+            yield pa.RecordBatch.from_arrays([pa.array(key[k : k + step].reshape(-1)), *rows], ["key", *(b.schema.names[i] for i in own)])
 
 
-def _meets(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """From rows of _halves() sorted by key: (key, node, m), the m texts of a variant that have one of another component c near them there.
+def _every(k: np.ndarray, node: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+    """(key, node, m) of texts that meet in variants k: m of them in each."""
+    met, back, m = np.unique(k, return_inverse=True, return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(met[back]), pa.array(node), pa.array(m[back])], ["key", "node", "m"])
 
-    Near are those whose check bits differ in CHECK at most.  In buckets of more than PAIRWISE texts, the few that aren't of the commonest
-    component are compared with all; if they are many, all count as near.  Texts of equal segments meet without a wildcard only."""
+
+def _weights(k: np.ndarray, node: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+    """(node, w): how many meet in the variants in which the text meets any."""
+    _, back, m = np.unique(k, return_inverse=True, return_counts=True)
+    own, at = np.unique(node, return_inverse=True)
+    return pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.bincount(at, m[back]).astype(np.int64))], ["node", "w"])
+
+
+def _leads(k: np.ndarray, node: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+    """(lead, node, w), each pair once: the text of each variant with the largest w leads, w is its own."""
+    order = np.lexsort((node, w, k))
+    k, node, w = k[order], node[order], w[order]
+    last = np.flatnonzero(np.r_[k[1:] != k[:-1], True])
+    top = np.repeat(last, np.diff(np.r_[-1, last]))
+    rows = np.unique(np.stack([node[top], node, w[top]], 1)[node != node[top]], axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in rows.T], ["lead", "node", "w"])
+
+
+def _meets(batches: Iterator[pa.RecordBatch], bits: int, tell=_every) -> Iterator[pa.RecordBatch]:
+    """From rows of _halves() sorted by key: what `tell` makes of the texts of a variant that have one of another component c near them there.
+
+    Near are those whose check bits differ in CHECK at most.  Rows may also have an owner o, and a weight w for `tell`: texts of one owner
+    don't meet either.  In buckets of more than PAIRWISE texts, those that aren't of the commonest component or owner are compared with all;
+    if they are very many, all count as near.  Texts of equal segments meet without a wildcard only."""
     h = bits // 2
 
     def near(f, g, i, j):
         return np.bitwise_count((f[i] ^ f[j]).view(np.uint64)) + np.bitwise_count((g[i] ^ g[j]).view(np.uint64)) <= CHECK
 
-    def work(key, node, c, f, g):
+    def work(key, node, c, f, g, o=None, w=None):
+        o, w, told = c if o is None else o, np.zeros(len(key), np.int64) if w is None else w, []
         for wild in range(-1, h):
             bit = np.int64(1 << wild if wild >= 0 else 0)
             rows = np.flatnonzero(key >> bits & 1 == 0) if wild < 0 else np.arange(len(key))
@@ -261,31 +290,35 @@ def _meets(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBa
                 if not len(i):
                     break
                 a, b = rs[i], rs[i + step]
-                ok = i[(c[a] != c[b]) & (key[a] ^ key[b] == bit) & near(f, g, a, b)]
+                ok = i[(c[a] != c[b]) & (o[a] != o[b]) & (key[a] ^ key[b] == bit) & near(f, g, a, b)]
                 alive[small[ok]] = alive[small[ok + step]] = True
             large = np.flatnonzero(n > PAIRWISE)
             for own in np.split(large, np.flatnonzero(np.diff(k[large])) + 1) if len(large) else []:
                 r = rows[own]
-                kinds, which, count = np.unique(c[r], return_inverse=True, return_counts=True)
-                if len(kinds) == 1 or wild >= 0 and len(np.unique(key[r])) == 1:
+                if wild >= 0 and len(np.unique(key[r])) == 1:
                     continue
-                few = np.flatnonzero(which != count.argmax())
-                if len(few) > PAIRWISE:
+                few = r
+                for kind in (c[r], o[r]):
+                    _, which, count = np.unique(kind, return_inverse=True, return_counts=True)
+                    few = min(few, np.flatnonzero(which != count.argmax()), key=len)
+                if len(few) > 16 * PAIRWISE:
                     alive[own] = True
                     continue
                 for x in few:
-                    ok = (which != which[x]) & (key[r] ^ key[r[x]] == bit) & near(f, g, r, r[x])
+                    ok = (c[r] != c[r[x]]) & (o[r] != o[r[x]]) & (key[r] ^ key[r[x]] == bit) & near(f, g, r, r[x])
                     alive[own[ok]] = True
                     alive[own[x]] |= ok.any()
             if alive.any():
-                met, back, m = np.unique(k[alive], return_inverse=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array((met | (wild + 1) << 48)[back]), pa.array(node[rows[alive]]), pa.array(m[back])], ["key", "node", "m"])
+                told.append((k[alive] | (wild + 1) << 48, rows[alive]))
+        if told:
+            k, rows = (np.concatenate(x) for x in zip(*told, strict=True))
+            yield tell(k, node[rows], w[rows])
 
     held: list[list[np.ndarray]] = []  # rows of the last group, which may go on
     for b in batches:
         if not len(b):
             continue
-        x = [b.column(i).to_numpy() for i in range(5)]
+        x = [b.column(i).to_numpy() for i in range(b.num_columns)]
         part = x[0] >> h
         cut = int(np.searchsorted(part, part[-1]))
         if held and (cut or held[0][0][0] >> h != part[0]):
@@ -305,7 +338,7 @@ def near_links(docs: DataFrame) -> DataFrame:
     fingerprints here are of near_segments() segments; texts that share a one-wildcard variant of one are a bucket.  Members of each
     bucket are verified against its leader first, so that copies of one text cost a row per member; then _unconnected() gives
     the pairs of members that may still be alike, and these are verified.  Blank texts count as one shingle.
-    The first EARLY segments connect most near copies; for the others only texts of different components meet.
+    The first EARLY segments connect most near copies; for the others only texts of different components and owners meet (see _owned()).
     """
 
     def sets(d: DataFrame) -> DataFrame:
@@ -316,21 +349,18 @@ def near_links(docs: DataFrame) -> DataFrame:
     bits, segments = near_segments(docs.count())
     wide = saved(sets(texts).mapInArrow(lambda it: _wide(it, bits, segments), "node long, f long, g long, v binary").distinct())
 
-    def meets(named: DataFrame, first: int, last: int) -> DataFrame:
+    def meets(named: DataFrame, first: int, last: int, tell, schema: str) -> DataFrame:
         """Rows of _meets() for some segments, written so that their shuffle can go."""
-        rows = named.mapInArrow(lambda it: _halves(it, bits, first, last), "key long, node long, c long, f long, g long")
+        rows = named.mapInArrow(lambda it: _halves(it, bits, first, last), "key long, node long, c long, f long, g long, o long, w long")
         rows = rows.repartition(F.shiftright("key", bits // 2)).sortWithinPartitions("key")
-        out = saved(rows.mapInArrow(lambda it: _meets(it, bits), "key long, node long, m long"))
+        out = saved(rows.mapInArrow(lambda it: _meets(it, bits, tell), schema))
         release(docs.sparkSession)
         return out
 
-    def verified(met: DataFrame, found: DataFrame | None) -> DataFrame:
-        """`found` and the links of the buckets `met`."""
-        # the text that shares most buckets with others leads: of a group of near copies that is what they were copied from
-        weight = met.groupBy("node").agg(F.sum("m").alias("w"))
-        lead = met.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("w", "node")).alias("lead"))
-        led = saved(met.join(lead, "key").where("node <> lead").select("lead", "node").distinct())
-        known = saved(sets(texts.join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])))
+    def verified(led: DataFrame, found: DataFrame | None) -> DataFrame:
+        """`found` and the links of the leaders' members, (lead, node)."""
+        nodes = led.select("lead").union(led.select("node")).toDF("node").distinct()
+        known = saved(sets(texts.join(nodes, "node", "left_semi").dropDuplicates(["node"])))
 
         def with_sets(pairs: DataFrame) -> DataFrame:
             a, b = (known.select(F.col("node").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
@@ -339,27 +369,55 @@ def near_links(docs: DataFrame) -> DataFrame:
         pairs = with_sets(led.select(F.col("lead").alias("a"), F.col("node").alias("b")))
         differ = F.concat(F.array_except("sb", "sa"), F.array_except("sa", "sb")).alias("delta")
         delta = saved(pairs.select(F.col("a").alias("lead"), F.col("b").alias("node"), F.size("sa").alias("n_lead"), F.size("sb").alias("n"), differ))
+        release(docs.sparkSession)
         near = delta.where("9 * size(delta) <= n + n_lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
         found = saved(near if found is None else found.union(near))
         rest = _unconnected(delta.join(components(found), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component"))
         both = F.size(F.array_intersect("sa", "sb"))
         out = saved(found.union(with_sets(rest).where(9 * both >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")))
-        for x in (led, known, delta, found):
+        for x in (known, delta, found):
             forget(x)
         return out
 
-    early = meets(wide.select("node", F.col("node").alias("c"), "f", "g", "v"), 0, EARLY)
-    found = verified(early, None)
-    named = wide.join(components(found), "node", "left").select("node", F.coalesce("component", "node").alias("c"), "f", "g", "v")
-    named = saved(named)
-    late = [meets(named, k, min(k + AT_ONCE, segments)) for k in range(EARLY, segments, AT_ONCE)]
-    out = verified(reduce(DataFrame.union, late), found)
-    for x in (wide, early, named, found, *late):
+    node = F.col("node").alias
+    # the text that shares most buckets with others leads: of a group of near copies that is what they were copied from
+    some = meets(wide.select("node", node("c"), "f", "g", "v", node("o"), F.lit(0).cast("long").alias("w")), 0, WEIGH, _weights, "node long, w long")
+    heavy = some.groupBy("node").agg(F.sum("w").alias("w"))
+    wide_ = saved(wide.join(heavy, "node", "left").select("node", "f", "g", "v", F.coalesce("w", F.lit(0)).alias("w")))
+    early = meets(wide_.select("node", node("c"), "f", "g", "v", node("o"), "w"), 0, EARLY, _leads, "lead long, node long, w long")
+    led, owner = _owned(early)
+    found = verified(led, None)
+    named = wide_.join(components(found), "node", "left").join(owner, "node", "left")
+    named = saved(named.select("node", F.coalesce("component", "node").alias("c"), "f", "g", "v", F.coalesce("o", "node").alias("o"), "w"))
+    for x in (wide, some, wide_, early, led, owner):
+        forget(x)
+    late = [meets(named, k, min(k + AT_ONCE, segments), _leads, "lead long, node long, w long") for k in range(EARLY, segments, AT_ONCE)]
+    led = saved(reduce(DataFrame.union, late).select("lead", "node").distinct())
+    out = verified(led, found)
+    for x in (named, found, led, *late):
         forget(x)
     release(docs.sparkSession)
     return out
 
 
+def _owned(early: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lead, node) of `early` and more of them, each once; and (node, o): the owner of a text is the weightiest of its leaders, or itself if it leads.
+
+    Where the leader of a text has a weightier leader, the text becomes a member of that one too, so that a large group has one owner.
+    All members of a leader are compared with each other by verified(): texts of one owner need not meet again."""
+    each = saved(early.union(early.select("lead", F.col("lead").alias("node"), "w")).distinct())
+    best = F.max_by("lead", F.struct("w", "lead")).alias("lead")
+    first = each.groupBy("node").agg(best, F.max("w").alias("w"))
+    over = first.select(F.col("node").alias("lead"), F.col("lead").alias("top"), F.col("w").alias("w_top"))
+    more = first.join(over, "lead").where("top <> lead").select(F.col("top").alias("lead"), "node", F.col("w_top").alias("w"))
+    every = saved(each.union(more).distinct())
+    owner = saved(every.groupBy("node").agg(best).select("node", F.col("lead").alias("o")))
+    led = saved(every.where("lead <> node").select("lead", "node"))
+    for x in (each, every):
+        forget(x)
+    return led, owner
+
+
 def _cells(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all shingles in the deltas of a batch: row, shingle, and the cell that counts the shingle under its leader."""
     n = np.diff(b.column("delta").offsets.to_numpy())
@@ -413,6 +471,62 @@ def _by_rarity(d: DataFrame) -> DataFrame:
     return d.mapInArrow(order, "lead long, node long, n int, n_lead int, c long, delta array<long>, rest array<long>")
 
 
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (lead, node, n, c, delta) sorted by lead: (a, b), so many pairs of members of a leader, of different components c and alike by 4/5
+    or more, that they connect all such pairs.  Texts differ in the shingles that one of their deltas has and the other lacks."""
+
+    def work(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        node, n, c = (rows.column(x).to_numpy() for x in ("node", "n", "c"))
+        delta = rows.column("delta").combine_chunks()
+        size = np.diff(delta.offsets.to_numpy())
+        _, at, count = np.unique(delta.flatten().to_numpy(zero_copy_only=False), return_inverse=True, return_counts=True)
+        row, use = np.repeat(np.arange(len(node)), size), count[at] > 1
+        place = (np.cumsum(count > 1) - 1)[at[use]]
+        order = np.argsort(place, kind="stable")
+        row, place = row[use][order], place[order]
+        both = np.zeros((len(node), len(node)), np.float32)
+        step = 4096
+        for k in range(0, int(place[-1]) + 1 if len(place) else 0, step):
+            i, j = np.searchsorted(place, (k, k + step))
+            has = np.zeros((len(node), int(place[j - 1]) + 1 - k), np.float32)
+            has[row[i:j], place[i:j] - k] = 1
+            both += has @ has.T
+        near = (9 * (size[:, None] + size - 2 * both.astype(np.int64)) <= n[:, None] + n) & (c[:, None] != c)
+        a, b, left = [], [], np.ones(len(node), bool)
+        for start in np.flatnonzero(near.any(1)):
+            todo = [start] if left[start] else []
+            left[start] = False
+            while todo:
+                x = todo.pop()
+                new = np.flatnonzero(near[x] & left)
+                left[new] = False
+                a, b, todo = a + [x] * len(new), b + new.tolist(), todo + new.tolist()
+        a, b = node[np.array(a, np.int64)], node[np.array(b, np.int64)]
+        return np.minimum(a, b), np.maximum(a, b)
+
+    held: list[pa.RecordBatch] = []  # rows of the last leader, which may go on
+    for b in chain(batches, [None]):
+        if b is not None and not len(b):
+            continue
+        if b is None:
+            done, held = held, []
+        else:
+            lead = b.column("lead").to_numpy()
+            cut = int(np.flatnonzero(lead == lead[-1])[0])
+            if held and not cut and held[0].column("lead")[0].as_py() == lead[0]:
+                held.append(b)
+                continue
+            done, held = [*held, b.slice(0, cut)], [b.slice(cut)]
+        if not sum(map(len, done)):
+            continue
+        rows = pa.Table.from_batches(done)
+        lead = rows.column("lead").to_numpy()
+        at = np.flatnonzero(np.r_[True, lead[1:] != lead[:-1], True])
+        out = [work(rows.slice(i, j - i)) for i, j in zip(at[:-1], at[1:], strict=True) if j - i > 1]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["a", "b"])
+
+
 def _unconnected(delta: DataFrame) -> DataFrame:
     """(a, b): pairs of members of one leader, of different components c, among them all with a similarity of 4/5 or more.
 
@@ -423,9 +537,16 @@ def _unconnected(delta: DataFrame) -> DataFrame:
     e >= -n_lead for any; so a pair that isn't linked through the leader shares at least one shingle, and the first one that
     they share must stand so far in front that enough can follow: in the first n / 9 or so of the member with the lesser e.
     Variants of a text made by different edits share none there, so a group's pairs aren't written.  No order loses a pair.
+    Up to TOGETHER members of a leader are compared in one task instead, without a row for a shingle.
     """
-    split = delta.groupBy("lead").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("lead")
-    d = saved(delta.join(split, "lead", "left_semi"))
+    small = ((F.count("*") <= TOGETHER) & (F.sum(F.size("delta")) <= IN_ALL)).alias("small")
+    split = delta.groupBy("lead").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), small).where("lo <> hi").select("lead", "small")
+    d = saved(delta.join(split, "lead").select("lead", "node", "n", "n_lead", "c", "delta", "small"))
+    few = d.where("small").select("lead", "node", "n", "c", "delta").repartition("lead").sortWithinPartitions("lead")
+    few = saved(few.mapInArrow(_alike, "a long, b long"))
+    d = d.where("not small")
+    if d.isEmpty():
+        return few
     d = _by_rarity(d.select("lead", "node", "n", "n_lead", "c", "delta"))
     # shingles of one delta only come first of all; they match nothing, so their number will do
     size, lone = F.size("delta").alias("size"), (F.size("delta") - F.size("rest")).alias("lone")
@@ -443,7 +564,8 @@ def _unconnected(delta: DataFrame) -> DataFrame:
     sizes = 5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b")
     enough = 18 * (1 + F.least("left_a", "left_b")) >= F.col("e_a") + F.col("e_b")
     met = a.join(b, ["lead", "shingle"]).where(order & (F.col("c_a") != F.col("c_b")) & sizes & enough)
-    return saved(met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
+    met = met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    return saved(met.union(few).distinct())
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
