@@ -457,6 +457,30 @@ def test_block_max_index():
     assert 0 < index.read < touched / 2
 
 
+def test_common_terms_are_read_as_rows():
+    """Postings of terms of many examples aren't read one by one; ties still go to the smaller row."""
+    rng = np.random.default_rng(4)
+    sets = [(np.unique(np.r_[np.flatnonzero(rng.random(20) < 0.5), rng.integers(20, 3000, 15)]), None) for _ in range(700)]
+    sets = [(t, rng.integers(1, 4, len(t)).astype(float)) for t, _ in sets]
+    sets += sets[:100]  # equal examples
+    index = toxicity.BlockMaxIndex([(i, i % 2, *x) for i, x in enumerate(sets)], rng.random(3000) + 0.1, 128)
+    assert (index.dense[:20] >= 0).all() and (index.dense[20:] < 0).all() and index.rows.shape == (20, 896)
+    whole, at = np.zeros((800, 3000)), {d: i for i, d in enumerate(index.docs.tolist())}
+    for d, x in enumerate(sets):
+        t, w = index.vector(*x)
+        whole[at[d], t] = w
+    touched, (start, entry) = 0, (index.start, index.entry)
+    for x, common in zip(sets[:150], index.common(sets[:150]), strict=True):
+        t, w = index.vector(*x)
+        touched += int((start[entry[t + 1]] - start[entry[t]]).sum())
+        full = (whole[:, t] @ w).round(12)
+        rows, sim = index.nearest(*x, 10, common)
+        assert [y.tolist() for y in index.nearest(*x, 10)] == [rows.tolist(), sim.tolist()]
+        assert rows.tolist() == np.lexsort((np.arange(800), -full))[:10].tolist() and np.allclose(sim, full[rows])
+    assert index.read / 2 < touched / 4
+    assert {"rows", "dense", "place"}.isdisjoint(index.__getstate__())  # never sent
+
+
 def test_toxicity_votes(spark):
     """Evidence and scores follow from brute-force cosines over all the examples' words."""
     rng = random.Random(18)

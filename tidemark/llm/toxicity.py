@@ -7,7 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
+from itertools import batched, chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,8 @@ from tidemark.llm.common import body, load, saved
 EXAMPLES = 6_000
 #: Nearest examples that vote; weight of the base rate among their votes; examples in a block, in a small index and in that of train().
 NEAREST, PRIOR, BLOCK, WIDE = 50, 0.5, 64, 1_024
+#: A term of one in COMMON examples or more has its weights as a row of all places; the commonest ROWS terms at most.  Texts in a product.
+COMMON, ROWS, AT_ONCE = 8, 256, 64
 THRESHOLD = 0.7
 _WORD = re.compile(r"\w+")
 
@@ -71,11 +73,20 @@ class BlockMaxIndex:
         self._fill()
 
     def _fill(self) -> None:
-        """The rows of the postings as places in all scores: made where the index is used, and never sent."""
+        """The rows of the postings as places in all scores, and rows of common terms: made where the index is used, and never sent."""
         self.place = np.repeat(self.block.astype(np.int64) * self.wide, np.diff(self.start)) + self.row
+        at = self.start[self.entry]
+        df = np.diff(at)
+        common = np.flatnonzero(COMMON * df >= max(1, len(self.docs)))
+        common = common[np.argsort(-df[common], kind="stable")[:ROWS]]
+        self.dense = np.full(len(df), -1, np.int32)  # of each term: its row, if it has one
+        self.dense[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), self.blocks * self.wide))
+        for i, t in enumerate(common.tolist()):
+            self.rows[i, self.place[at[t] : at[t + 1]]] = self.weight[at[t] : at[t + 1]]
 
     def __getstate__(self) -> dict:
-        return {k: x for k, x in self.__dict__.items() if k != "place"}
+        return {k: x for k, x in self.__dict__.items() if k not in ("place", "dense", "rows")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -87,18 +98,32 @@ class BlockMaxIndex:
         terms, w = terms[w > 0], w[w > 0]
         return terms, w / math.sqrt(float(w @ w)) if len(w) else w
 
-    def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
+    def common(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[np.ndarray]:
+        """For each text, what its common terms give to the scores of all places: one product for AT_ONCE texts, of one shape always."""
+        for k in range(0, len(texts), AT_ONCE):
+            share, some = np.zeros((AT_ONCE, len(self.rows))), texts[k : k + AT_ONCE]
+            for i, x in enumerate(some):
+                t, w = self.vector(*x)
+                line = self.dense[t]
+                share[i, line[line >= 0]] = w[line >= 0]
+            yield from (share @ self.rows)[: len(some)]
+
+    def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int = NEAREST, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the k nearest examples with a cosine above 0; ties go to the smaller row.
 
-        Blocks are read by falling bound, until no block left can hold one of the k best."""
+        Scores start from the common terms' part.  The other terms' blocks are read by falling bound, until no block left can hold one of
+        the k best: what such a block has so far is below those."""
         t, w = self.vector(terms, counts)
         if not len(t) or not self.blocks:
             return np.empty(0, np.int64), np.empty(0)
+        score = next(self.common([(terms, counts)])) if common is None else common
+        rare = self.dense[t] < 0
+        t, w = t[rare], w[rare]
         n = (self.entry[t + 1] - self.entry[t]).astype(np.int64)
         entry, weight = _ranges(self.entry[t], n), np.repeat(w, n)
         block = self.block[entry].astype(np.int64)
-        bound = np.bincount(block, weight * self.most[entry], self.blocks)
-        order, score = np.argsort(-bound, kind="stable"), np.zeros(self.blocks * self.wide)
+        bound = np.bincount(block, weight * self.most[entry], self.blocks) + score.reshape(self.blocks, -1).max(1)
+        order = np.argsort(-bound, kind="stable")
         taken, least, step = 0, 0.0, 1
         while taken < len(order) and bound[order[taken]] > 0 and bound[order[taken]] >= least - 1e-12:
             use = np.zeros(self.blocks, bool)
@@ -110,10 +135,13 @@ class BlockMaxIndex:
             size = (self.start[e + 1] - self.start[e]).astype(np.int64)
             self.read += int(size.sum())
             at = _ranges(self.start[e].astype(np.int64), size)
-            score += np.bincount(self.place[at], self.weight[at] * np.repeat(weight[mine], size), len(score))
+            score = score + np.bincount(self.place[at], self.weight[at] * np.repeat(weight[mine], size), len(score))
             taken, step = taken + step, step * 8
-            if len(score) >= k:
+            if taken < len(order) and len(score) >= k:
                 least = float(np.partition(score, len(score) - k)[len(score) - k])
+        score = score.round(12)  # equal examples are ties, however their products were summed
+        if len(score) >= k:
+            least = float(np.partition(score, len(score) - k)[len(score) - k])
         top = np.flatnonzero((score > 0) & (score >= least))
         top = top[np.lexsort((top, -score[top]))[:k]]
         return top, score[top]
@@ -228,9 +256,9 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model
         index = trained.value
         place = {d: i for i, d in enumerate(index.docs.tolist())}
         for b in batches:
-            out = []
-            for d, t, c in zip(b.column("d"), b.column("t"), b.column("c"), strict=True):
-                rows, sim = index.nearest(t.values.to_numpy(), c.values.to_numpy(), NEAREST + 1)
+            out, each = [], [(t.values.to_numpy(), c.values.to_numpy()) for t, c in zip(b.column("t"), b.column("c"), strict=True)]
+            for d, x, common in zip(b.column("d"), each, index.common(each), strict=True):
+                rows, sim = index.nearest(*x, NEAREST + 1, common)
                 other = rows != place[d.as_py()]
                 out.append(index.vote(rows[other][:NEAREST], sim[other][:NEAREST]))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64()), b.column("y")], ["vote", "y"])
@@ -252,13 +280,14 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
         vocabulary = list(number)  # in the order of the numbers
         for b, texts in _texts(batches):
             scores, evidence, words = [], [], []
-            for text in texts:
-                terms, counts = _numbered(number, text)
-                rows, sim = index.nearest(terms, counts)
-                scores.append(calibration.score(index.vote(rows, sim)))
-                evidence.append(index.docs[rows[:3]].tolist())
-                t, w = index.vector(terms, counts)
-                words.append([vocabulary[x] for x in t[np.lexsort((t, -w))[:3]].tolist()])
+            for some in batched(texts, AT_ONCE):
+                each = [_numbered(number, text) for text in some]
+                for (terms, counts), common in zip(each, index.common(each), strict=True):
+                    rows, sim = index.nearest(terms, counts, NEAREST, common)
+                    scores.append(calibration.score(index.vote(rows, sim)))
+                    evidence.append(index.docs[rows[:3]].tolist())
+                    t, w = index.vector(terms, counts)
+                    words.append([vocabulary[x] for x in t[np.lexsort((t, -w))[:3]].tolist()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.string()))], ["doc_id", "score", "evidence", "words"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("text")).mapInArrow(run, "doc_id long, score double, evidence array<long>, words array<string>")
