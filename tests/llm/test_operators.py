@@ -4,7 +4,9 @@ import hashlib
 import itertools
 import random
 import re
+import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers as P
 from tidemark.llm import bpe, embedding_dedup, line_dedup, packing, quality, sharding, simhash, substring_dedup, toxicity, warc
+from tidemark.llm.common import release, saved
 from tidemark.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -139,6 +142,54 @@ def test_keep_first_near_copies(spark):
     assert {r["doc_id"] for r in simhash.keep_first(docs(spark, texts)).collect()} == set(want.values())
 
 
+def exchanges(df, column):
+    """Numbers of the shuffles in the plan that carry a column, or buffers of first() that may hold it, and the whole plan; lower numbers run first."""
+    plan = df.sparkSession._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    return [int(k) for k, x in re.findall(r"^\((\d+)\) Exchange\nInput \[\d+\]: \[(.*)\]$", plan, re.M) if re.search(rf"\b({column}|first)#", x)], plan
+
+
+def test_keep_first_shuffles_texts_once(spark):
+    """Texts move once, though kept rows are looked up and repeated rows go; null ids stay apart from 0."""
+    rng = random.Random(8)
+    a, b, c = (prose(rng, 80) for _ in range(3))
+    out = simhash.keep_first(docs(spark, [a, a, a, b, b, c, c, None, ""], [4, 4, 9, None, None, 0, None, 7, 5]))
+    assert len(exchanges(out, "text")[0]) == 1
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter({(4, a): 1, (None, b): 1, (0, c): 1, (5, ""): 1})
+
+
+@pytest.mark.parametrize("bits", [2, 18])
+def test_unwanted_texts_go_ahead_of_the_shuffle(spark, monkeypatch, bits):
+    """Also where no table of nodes may be sent out, and where texts share bits."""
+    monkeypatch.setattr(simhash, "WORDS", bits)
+    rng = random.Random(9)
+    nodes = [rng.getrandbits(64) - 2**63 for _ in range(3000)] + [-1, 0, 2**63 - 1, -(2**63)]
+    texts = spark.createDataFrame([(x, f"t{i}") for i, x in enumerate(nodes)], "node long, t string")
+    want = sorted(nodes[k] for k in range(0, len(nodes), 7))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = simhash._wanted(texts, spark.createDataFrame([(x,) for x in want], "node long"))
+        moved, plan = exchanges(out, "t")
+        first = int(re.search(r"^\((\d+)\) BroadcastHashJoin", plan, re.M)[1])
+        assert moved and min(moved) > first
+        assert sorted(r["node"] for r in out.collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_release_frees_the_last_shuffle(spark):
+    """Files of the last job's shuffle go, not only those of jobs before it."""
+    folders = [str(x) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {x for d in folders for x in Path(d).rglob("shuffle_*")}
+    before = files()
+    saved(spark.range(1000).repartition(3))
+    assert files() - before
+    release(spark)
+    end = time.time() + 5
+    while files() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not files() - before
+
+
 def test_near_links_in_groups_of_variants(spark, monkeypatch):
     """Variants of one text, most of them less than 0.8 alike, and copies of some variants: components by brute force, and few pairs compared."""
     rng = random.Random(33)

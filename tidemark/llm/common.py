@@ -100,8 +100,11 @@ def restored(docs: DataFrame, operator, *added: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets the JVM find the shuffles of finished jobs, so that their files go now and not at some later collection."""
+    """Lets the JVM find the shuffles of finished jobs, so that their files go now and not at some later collection.
+
+    The last job's plan is held by threads that wait for the next event, so a job of one row goes before."""
     gc.collect()
+    spark.range(1).collect()
     spark._jvm.System.gc()
 
 

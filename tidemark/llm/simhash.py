@@ -26,6 +26,8 @@ CHECK_BITS, CHECK = 128, 38
 EARLY, AT_ONCE = 8, 24
 #: The segments that tell which texts share most buckets; the members of a leader that are compared in one task at most, and their shingles.
 WEIGH, TOGETHER, IN_ALL = 4, 512, 2_000_000
+#: Bits of the number of words, of 64 bits each, that tell which texts may be wanted.
+WORDS = 18
 #: Bits of the cells that count shingles of differing members, and of the pieces in which the counts travel.
 CELLS, CHUNK = 22, 16
 
@@ -331,6 +333,16 @@ def _meets(batches: Iterator[pa.RecordBatch], bits: int, tell=_every) -> Iterato
         yield from work(*map(np.concatenate, zip(*held, strict=True)))
 
 
+def _wanted(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of `texts` whose node is in `nodes`, which has each once.
+
+    Most others go ahead of the shuffle, by a table of 2**WORDS words at most that is sent out however many nodes there are; the join decides."""
+    word, bit = F.shiftrightunsigned("node", 64 - WORDS), F.expr("shiftleft(1L, cast(node & 63 as int))")
+    some = nodes.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    likely = texts.withColumn("word", word).join(F.broadcast(some), "word").where(F.col("bits").bitwiseAND(bit) != 0)
+    return likely.drop("word", "bits").join(nodes, "node")  # a semi-join would be moved ahead of the other one
+
+
 def near_links(docs: DataFrame) -> DataFrame:
     """(a, b): hashes of texts with a Jaccard similarity of 4/5 or more; enough of them to connect every such pair of candidates.
 
@@ -360,7 +372,8 @@ def near_links(docs: DataFrame) -> DataFrame:
     def verified(led: DataFrame, found: DataFrame | None) -> DataFrame:
         """`found` and the links of the leaders' members, (lead, node)."""
         nodes = led.select("lead").union(led.select("node")).toDF("node").distinct()
-        known = saved(sets(texts.join(nodes, "node", "left_semi").dropDuplicates(["node"])))
+        known = saved(sets(_wanted(texts, nodes).dropDuplicates(["node"])))
+        release(docs.sparkSession)
 
         def with_sets(pairs: DataFrame) -> DataFrame:
             a, b = (known.select(F.col("node").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
@@ -577,10 +590,12 @@ def keep_first(docs: DataFrame) -> DataFrame:
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(body()).alias("th"))
     named = ids.join(group, ids["th"] == group["node"], "left").withColumn("c", F.coalesce("component", "th"))
     first = named.groupBy("c").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "th")).alias("one"))
-    one = first.select(F.col("one.doc_id").alias("__tidemark_id"), F.col("one.th").alias("__tidemark_th"))
-    d = docs.withColumn("__tidemark_h", F.xxhash64(body()))
-    d = d.join(one.hint("shuffle_hash"), d["doc_id"].cast("long").eqNullSafe(one["__tidemark_id"]) & (d["__tidemark_h"] == one["__tidemark_th"]), "left_semi")
-    return d.dropDuplicates(["doc_id", "__tidemark_h"]).drop("__tidemark_h")
+    # the same keys for the join and for repeated rows, so that the texts are shuffled once; as a struct they would be cast, and shuffled again
+    keys = ["__tidemark_none", "__tidemark_id", "__tidemark_th"]
+    one = first.select("one.none", F.coalesce("one.doc_id", F.lit(0)), "one.th").toDF(*keys)
+    own = F.col("doc_id").cast("long")
+    d = docs.withColumns(dict(zip(keys, [F.isnull(own), F.coalesce(own, F.lit(0)), F.xxhash64(body())], strict=True)))
+    return d.join(one.hint("shuffle_hash"), keys, "left_semi").dropDuplicates(keys).drop(*keys)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
