@@ -3,7 +3,9 @@
 import datetime
 import random
 from decimal import Decimal
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,8 +16,9 @@ from tidemark.plans.syntax import SqlError, parse
 from tidemark.session import configure
 from tidemark.sources import interop
 from tidemark.sources.store import StoreError
+from tidemark.streaming import view
 from tidemark.streaming.subscription import CommitOrder, SubscriptionError, SubscriptionLog
-from tidemark.streaming.view import CORRECTED, FINALIZED, PROVISIONAL, View, ViewError, ViewSpec
+from tidemark.streaming.view import CORRECTED, FINALIZED, PROVISIONAL, GroupView, View, ViewError, ViewSpec, Window
 
 CREATE = """CREATE TABLE {name} (ts TIMESTAMP_NS NOT NULL, symbol SYMBOL NOT NULL, price FLOAT64, qty INT64) EVENT TIME ts ORDER KEY (symbol, ts)
   PARTITION BY time_bucket(INTERVAL '1 day', ts) SHARD KEY (symbol) DEDUP KEY (symbol, ts) RETENTION INTERVAL '30 days'
@@ -321,6 +324,110 @@ def test_view_bounds():
     v.commit(3, [change("x", 0, 0, deleted=True), change("z", 14, 1.0)])
 
 
+def test_view_ends_are_renewed_seldom(monkeypatch):
+    """Rows taken away in the order of their times: a window's rows are looked at again once for many of them, not for each."""
+    n, looks, renew = 600, [], Window.renew
+    monkeypatch.setattr(Window, "renew", lambda self, rows: looks.append(1) or renew(self, rows))
+    g = GroupView(ViewSpec(10_000, 10_000), {}, {})
+    rows = {str(i): (i, i, str(i), float(i * 7919 % n // 3), 1.0) for i in range(n)}
+    for i, r in enumerate(rows.values()):
+        g.apply(1, str(i), False, r[0], r[1], r[3], r[4])
+    for i in range(n):
+        (x,) = g.apply(2, str(i), True, None, None, None, None)
+        del rows[str(i)]
+        want = brute(rows, 0, 10_000)
+        assert {k: x[k] for k in want} == pytest.approx(want)
+    assert len(looks) <= n // 100
+
+
+class MapOfBytes:
+    """A map state in memory that forgets nothing it wasn't told to."""
+
+    def __init__(self):
+        self.kept = {}
+
+    def containsKey(self, k):
+        return k in self.kept
+
+    def getValue(self, k):
+        return self.kept[k]
+
+    def updateValue(self, k, v):
+        self.kept[k] = v
+
+    def removeKey(self, k):
+        del self.kept[k]
+
+    def keys(self):
+        return iter(list(self.kept))
+
+    def iterator(self):
+        return iter(list(self.kept.items()))
+
+
+class ValueOfRow:
+    kept = None
+
+    def exists(self):
+        return self.kept is not None
+
+    def get(self):
+        return self.kept
+
+    def update(self, v):
+        self.kept = v
+
+
+@pytest.mark.parametrize("width,slide", [(30, 30), (40, 10)])
+def test_view_stream_holds_little(monkeypatch, width, slide):
+    """Batches of unordered frames with upserts, moves, tombstones and watermarks: the changes are those of brute force in order, and
+    neither rows, windows nor changes of a whole batch are held."""
+    limits = {"HOLD": 50, "FRAME": 20, "SLICE": 7, "WINDOWS": 3, "BLOCKS": 16, "KEEP": 2, "CUT": 4}
+    for k, n in limits.items():
+        monkeypatch.setattr(view, k, n, raising=False)
+    maps = {}
+    handle = SimpleNamespace(getMapState=lambda name, *_: maps.setdefault(name, MapOfBytes()), getValueState=lambda name, _: maps.setdefault(name, ValueOfRow()))
+    held = []
+    for c in (view._Map, getattr(view, "_Rows", view._Map)):
+        monkeypatch.setattr(c, "flush", lambda self, f=c.flush: held.append(len(self.held)) or f(self))
+    rng, rows, last, mark, position = random.Random(width), {}, {}, None, 0
+    for batch in range(4):
+        given = []
+        for _ in range(400):
+            position += 1
+            identity, gone = f"r{rng.randrange(300)}", rng.random() < 0.4
+            given.append(("g", position, identity, "delete" if gone else "upsert", None if gone else rng.randrange(-60, 120), position, rng.randrange(20) / 4, 1.0))
+            if position % 150 == 0:
+                given.append(("g", position, None, "watermark", position // 20, None, None, None))
+        shuffled = rng.sample(given, len(given))
+        frames = [pd.DataFrame(shuffled[i : i + 30], columns=["grp", "position", "identity", "kind", "t", "ord", "value", "weight"]) for i in range(0, len(given), 30)]
+        p = view.ViewProcessor(ViewSpec(width, slide, 5))
+        p.init(handle)
+        out = list(p.handleInputRows(("g",), iter(frames), None))
+        assert max(map(len, out)) < 2 * limits["FRAME"] and max(held) <= limits["HOLD"]
+        out = iter(pd.concat([f.astype(object) for f in out]).to_dict("records"))
+        for _, at, identity, kind, t, order, value, weight in given:
+            if kind == "watermark":
+                mark = t
+                for s in sorted(last):
+                    if last[s][1] is False and mark >= s + width + 5:
+                        last[s] = last[s][0], True
+                        if brute(rows, s, width)["n"]:
+                            x = next(out)
+                            last[s] = x["revision"], True
+                            assert (x["window_start"], x["status"]) == (s, FINALIZED)
+                continue
+            old = rows.pop(identity, None)
+            if kind == "upsert":
+                rows[identity] = (t, order, identity, value, weight)
+            for s in sorted({s for r in (old, rows.get(identity)) if r for s in ViewSpec(width, slide).windows(r[0])}):
+                x, want = next(out), brute(rows, s, width)
+                assert (x["grp"], x["window_start"], x["position"], x["revision"]) == ("g", s, at, last.get(s, (0,))[0] + 1)
+                assert {k: x[k] for k in want if want[k] is not None} == pytest.approx({k: v for k, v in want.items() if v is not None})
+                last[s] = x["revision"], last.get(s, (0, False))[1] or mark is not None and mark >= s + width + 5
+        assert next(out, None) is None
+
+
 def test_subscription(eng):
     sub = eng.execute("SUBSCRIBE SELECT symbol, price FROM trades WHERE price > 2.0")
     assert [c.kind for c in sub.poll()] == ["snapshot", "ready"]

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import heapq
 import math
+import os
 import pickle
-from collections.abc import Iterator, MutableMapping
+import tempfile
+import zlib
+from bisect import bisect_left, insort
+from collections import defaultdict
+from collections.abc import Iterable, Iterator, MutableMapping
 from dataclasses import dataclass
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -45,6 +52,12 @@ class ViewSpec:
 
 #: Every finite double is a whole number of 2**-SCALE.
 SCALE = 1074
+#: Keys kept of each end of a window, after a cut and before it.
+KEEP, CUT = 128, 256
+#: Input rows of a group that are held and written at once; windows held; changes in a frame of output; rows read at once of a sorted run.
+HOLD, WINDOWS, FRAME, SLICE = 200_000, 256, 10_000, 1_000
+#: A group's rows lie in so many blocks of the state store at most.
+BLOCKS = 1 << 14
 
 
 def _exact(x: float) -> int:
@@ -52,18 +65,59 @@ def _exact(x: float) -> int:
     return n << (SCALE - d.bit_length() + 1)
 
 
+class End:
+    """The least or greatest (`top`) keys of a window with their counts: all from the outermost to the last one kept, or all there
+    are (`whole`).  Keys further in are only counted by the window, so an end whose kept keys are all removed has to be renewed."""
+
+    __slots__ = ("counts", "keys", "top", "whole")
+
+    def __init__(self, top: bool):
+        self.top, self.whole, self.keys, self.counts = top, True, [], {}
+
+    def outermost(self):
+        return self.keys[-1 if self.top else 0] if self.keys else None
+
+    def add(self, k) -> None:
+        if not self.whole and (not self.keys or (k < self.keys[0] if self.top else k > self.keys[-1])):
+            return
+        if k in self.counts:
+            self.counts[k] += 1
+            return
+        self.counts[k] = 1
+        insort(self.keys, k)
+        if len(self.keys) > CUT:
+            self.whole = False
+            self.keys = self.keys[-KEEP:] if self.top else self.keys[:KEEP]
+            self.counts = {x: self.counts[x] for x in self.keys}
+
+    def remove(self, k) -> None:
+        n = self.counts.get(k, 0)
+        if n > 1:
+            self.counts[k] = n - 1
+        elif n:
+            del self.counts[k]
+            del self.keys[bisect_left(self.keys, k)]
+
+
 class Window:
-    """What is kept of one window: exact sums, from which rows can be taken away again, and the extremes.
+    """What is kept of one window: exact sums, from which rows can be taken away again, and the ends of its values and times.
 
     Sums are whole numbers of 2**-SCALE (products: of its square), so adding and removing in any order gives the same figures.
-    Taking an extreme away makes the extremes stale; they are then looked up among the window's rows."""
+    Taking the last kept key of an end away makes the ends stale; they are then looked up among the window's rows."""
 
-    __slots__ = ("emitted", "final", "first", "greatest", "last", "least", "n", "products", "revision", "squares", "stale", "total", "weight")
+    __slots__ = ("emitted", "ends", "final", "n", "products", "revision", "squares", "total", "weight")
 
     def __init__(self):
         self.revision = self.n = self.total = self.weight = self.products = self.squares = 0
-        self.emitted = self.final = self.stale = False
-        self.least = self.greatest = self.first = self.last = None
+        self.emitted = self.final = False
+        self.clear()
+
+    def clear(self) -> None:
+        self.ends = (End(False), End(True), End(False), End(True))
+
+    @property
+    def stale(self) -> bool:
+        return self.n > 0 and not all(e.keys for e in self.ends)
 
     def count(self, row: tuple, sign: int) -> None:
         value, weight = _exact(row[3]), _exact(row[4])
@@ -73,34 +127,42 @@ class Window:
         self.products += sign * value * weight
         self.squares += sign * value * value
 
+    def _mark(self, row: tuple) -> None:
+        least, greatest, first, last = self.ends
+        at = row[:4]
+        least.add(row[3])
+        greatest.add(row[3])
+        first.add(at)
+        last.add(at)
+
     def add(self, row: tuple) -> None:
         """row: (event time, order, identity, value, weight)."""
         self.count(row, 1)
-        if not self.stale:
-            self.least, self.greatest = (row[3] if m is None else f(m, row[3]) for m, f in ((self.least, min), (self.greatest, max)))
-            self.first, self.last = (row[:4] if m is None else f(m, row[:4]) for m, f in ((self.first, min), (self.last, max)))
+        self._mark(row)
 
     def remove(self, row: tuple) -> None:
         self.count(row, -1)
-        if row[3] in (self.least, self.greatest) or row[:4] in (self.first, self.last):
-            self.stale = True
-
-    def renew(self, rows: Iterator[tuple]) -> None:
-        """Extremes from the window's rows."""
-        self.least = self.greatest = self.first = self.last = None
-        self.stale = False
+        if not self.n:
+            self.clear()
+            return
+        for e, k in zip(self.ends, (row[3], row[3], row[:4], row[:4]), strict=True):
+            e.remove(k)
+
+    def renew(self, rows: Iterable[tuple]) -> None:
+        """Ends from the window's rows."""
+        self.clear()
         for r in rows:
-            self.least, self.greatest = (r[3] if m is None else f(m, r[3]) for m, f in ((self.least, min), (self.greatest, max)))
-            self.first, self.last = (r[:4] if m is None else f(m, r[:4]) for m, f in ((self.first, min), (self.last, max)))
+            self._mark(r)
 
     def figures(self) -> dict:
         n = self.n
         if not n:
             return dict.fromkeys(("total", "least", "greatest", "vwap", "open", "high", "low", "close", "var_pop", "var_samp")) | {"n": 0}
+        least, greatest, first, last = (e.outermost() for e in self.ends)
         spread = n * self.squares - self.total * self.total  # n squared times the variance
         return {
-            "n": n, "total": self.total / (1 << SCALE), "least": self.least, "greatest": self.greatest, "vwap": self.products / (self.weight << SCALE) if self.weight else None,
-            "open": self.first[3], "high": self.greatest, "low": self.least, "close": self.last[3], "var_pop": spread / (n * n << 2 * SCALE), "var_samp": spread / (n * (n - 1) << 2 * SCALE) if n > 1 else None,
+            "n": n, "total": self.total / (1 << SCALE), "least": least, "greatest": greatest, "vwap": self.products / (self.weight << SCALE) if self.weight else None,
+            "open": first[3], "high": greatest, "low": least, "close": last[3], "var_pop": spread / (n * n << 2 * SCALE), "var_samp": spread / (n * (n - 1) << 2 * SCALE) if n > 1 else None,
         }
 
 
@@ -168,8 +230,8 @@ class GroupView:
             raise ViewError("invalid", "a watermark can't go back")
         self.watermark = watermark
         out = []
-        for s, w in sorted(self.windows.items()):
-            if not w.final and self._past(s):
+        for s in sorted(self.windows):
+            if self._past(s) and not (w := self.windows[s]).final:
                 w.final = True
                 if w.n:
                     out.append(self._row(s, w, FINALIZED, position))
@@ -227,14 +289,16 @@ class View:
 
 
 class _Map(MutableMapping):
-    """A state-store map of pickled values; what a batch touches is read once, and written by flush()."""
+    """A state-store map of pickled values.  What is touched is held until flush(), or until WINDOWS others are."""
 
     def __init__(self, state):
-        self.state, self.held, self.dirty, self.whole = state, {}, set(), False
+        self.state, self.held, self.dirty = state, {}, set()
 
     def __getitem__(self, k):
         if k not in self.held:
-            v = None if self.whole or not self.state.containsKey((k,)) else self.state.getValue((k,))
+            if len(self.held) >= WINDOWS:
+                self.flush()
+            v = self.state.getValue((k,)) if self.state.containsKey((k,)) else None
             self.held[k] = None if v is None else pickle.loads(v[0])
         if self.held[k] is None:
             raise KeyError(k)
@@ -248,11 +312,8 @@ class _Map(MutableMapping):
         self[k] = None
 
     def __iter__(self):
-        if not self.whole:
-            for (k,), (v,) in self.state.iterator():
-                self.held.setdefault(k, pickle.loads(v))
-            self.whole = True
-        return iter([k for k, v in self.held.items() if v is not None])
+        stored = {k for (k,) in self.state.keys()}  # noqa: SIM118
+        return iter([k for k in stored | self.held.keys() if self.held.get(k, k) is not None])
 
     def __len__(self):
         return sum(1 for _ in self)
@@ -264,33 +325,147 @@ class _Map(MutableMapping):
                 self.state.updateValue((k,), (pickle.dumps(v),))
             elif self.state.containsKey((k,)):
                 self.state.removeKey((k,))
+        self.held, self.dirty = {}, set()
+
+
+class _Rows(MutableMapping):
+    """A group's rows by identity, in blocks of a state-store map.  Only rows of the identities given to fetch() are held, until flush();
+    others are read for values() alone, block by block."""
+
+    def __init__(self, state):
+        self.state, self.held, self.dirty = state, {}, set()
+
+    def _blocks(self, identities: Iterable) -> Iterator[tuple[int, list, dict]]:
+        """(number, identities, rows) of the blocks that identities belong to."""
+        dealt = defaultdict(list)
+        for i in identities:
+            dealt[zlib.crc32(str(i).encode("utf-8", "surrogatepass")) % BLOCKS].append(i)
+        for b, mine in dealt.items():
+            yield b, mine, self._block(b)
+
+    def _block(self, b: int) -> dict:
+        return pickle.loads(self.state.getValue((b,))[0]) if self.state.containsKey((b,)) else {}
+
+    def fetch(self, identities: Iterable) -> None:
+        for _, mine, block in self._blocks(set(identities) - self.held.keys()):
+            self.held.update((i, block.get(i)) for i in mine)
+
+    def __getitem__(self, k):
+        if k not in self.held:
+            self.fetch([k])
+        if self.held[k] is None:
+            raise KeyError(k)
+        return self.held[k]
+
+    def __setitem__(self, k, v):
+        self.held[k] = v
+        self.dirty.add(k)
+
+    def __delitem__(self, k):
+        self[k] = None
+
+    def items(self) -> Iterator[tuple]:
+        for b in [b for (b,) in self.state.keys()]:  # noqa: SIM118
+            yield from ((k, v) for k, v in self._block(b).items() if k not in self.held)
+        yield from ((k, v) for k, v in self.held.items() if v is not None)
+
+    def values(self) -> Iterator[tuple]:
+        return (v for _, v in self.items())
+
+    def __iter__(self):
+        return (k for k, _ in self.items())
+
+    def __len__(self):
+        return sum(1 for _ in self)
+
+    def flush(self) -> None:
+        for b, mine, block in self._blocks(self.dirty):
+            found = bool(block)
+            for i in mine:
+                if self.held[i] is None:
+                    block.pop(i, None)
+                else:
+                    block[i] = self.held[i]
+            if block:
+                self.state.updateValue((b,), (pickle.dumps(block),))
+            elif found:
+                self.state.removeKey((b,))
+        self.held, self.dirty = {}, set()
+
+
+def _whole(c: pd.Series) -> list:
+    """Whole numbers of a column, None where there are none."""
+    return c.tolist() if c.dtype.kind == "i" else [None if gone else int(x) for x, gone in zip(c, c.isna(), strict=True)]
+
+
+def _inputs(frames: Iterable[pd.DataFrame]) -> Iterator[tuple]:
+    """(position, ord, identity, kind, t, value, weight) of each input row."""
+    for f in frames:
+        yield from zip(_whole(f["position"]), _whole(f["ord"]), f["identity"], f["kind"], _whole(f["t"]), f["value"], f["weight"], strict=True)
+
+
+def _turn(r: tuple) -> tuple:
+    """Rows go by position and order, rows without an order last."""
+    return r[0], r[1] is None, r[1] or 0
+
+
+def _sorted(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """rows by _turn(), equal ones as they came.  Runs of HOLD rows are sorted and written to a file of this task, which goes when it is
+    closed, and merged from there."""
+    run = sorted(islice(rows, HOLD), key=_turn)
+    if len(run) < HOLD:
+        yield from run
+        return
+    with tempfile.TemporaryFile(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None) as file:
+
+        def read(at: list[int]) -> Iterator[tuple]:
+            for x in at:
+                file.seek(x)
+                yield from pickle.load(file)
+
+        runs = []
+        while run:
+            at = []
+            for i in range(0, len(run), SLICE):
+                at.append(file.tell())
+                pickle.dump(run[i : i + SLICE], file)
+            runs.append(at)
+            del run
+            run = sorted(islice(rows, HOLD), key=_turn)
+        yield from heapq.merge(*map(read, runs), key=_turn)
 
 
 class ViewProcessor(StatefulProcessor):
     """Keyed by group.  Input rows: grp, position, identity, kind ('upsert', 'delete', 'watermark'), t, ord, value, weight; watermarks
-    come as rows for each group, since Spark's own watermark would drop late rows."""
+    come as rows for each group, since Spark's own watermark would drop late rows.
+
+    A group's rows of a batch are sorted outside memory and applied HOLD at a time; what they touch is read before and written after."""
 
     def __init__(self, spec: ViewSpec):
         self.spec = spec
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rows = handle.getMapState("rows", "identity string", "v binary")
+        self.rows = handle.getMapState("blocks", "block long", "v binary")
         self.windows = handle.getMapState("windows", "start long", "v binary")
         self.mark = handle.getValueState("mark", "watermark long, position long, n_rows long, n_windows long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         mark, position, *sizes = self.mark.get() if self.mark.exists() else (None, 0, 0, 0)
-        kept, windows = _Map(self.rows), _Map(self.windows)
+        kept, windows = _Rows(self.rows), _Map(self.windows)
         g, out = GroupView(self.spec, kept, windows, mark, position, tuple(sizes)), []
-        for r in pd.concat(list(rows)).sort_values(["position", "ord"], kind="stable").itertuples():
-            if r.kind == "watermark":
-                out += g.advance(r.position, int(r.t))
-            else:
-                out += g.apply(r.position, r.identity, r.kind == "delete", None if pd.isna(r.t) else int(r.t), None if pd.isna(r.ord) else int(r.ord), r.value, r.weight)
-        kept.flush()
+        names = [x.strip().split(" ")[0] for x in CHANGE.split(",")]
+        turns = _sorted(_inputs(rows))
+        while held := list(islice(turns, HOLD)):
+            kept.fetch(r[2] for r in held if r[3] != "watermark")
+            for at, order, identity, kind, t, value, weight in held:
+                out += g.advance(at, t) if kind == "watermark" else g.apply(at, identity, kind == "delete", t, order, value, weight)
+                if len(out) >= FRAME:
+                    yield pd.DataFrame([{"grp": key[0]} | x for x in out], columns=names)
+                    out = []
+            kept.flush()
+            held.clear()
         windows.flush()
         self.mark.update((g.watermark, g.position, g.n_rows, g.n_windows))
-        names = [x.strip().split(" ")[0] for x in CHANGE.split(",")]
         yield pd.DataFrame([{"grp": key[0]} | x for x in out], columns=names)
 
     def close(self) -> None:
